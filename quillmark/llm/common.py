@@ -59,6 +59,11 @@ def blobs(array: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def lower(data: bytes) -> bytes:
+    """UTF-8 bytes in lower case."""
+    return data.lower() if data.isascii() else data.decode("utf-8", "replace").lower().encode()
+
+
 def per_document(docs: DataFrame, columns: list[str], make: Callable[[], Callable[[bytes], tuple]], schema: str, text: str = "text") -> DataFrame:
     """Run a function of one whole text over every row, in Arrow batches.
 

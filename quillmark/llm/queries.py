@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, toxicity, warc
+from . import bpe, decontam, langid, quality, secret_scan, simhash, spans, toxicity, warc
 
 #: Where the ranks lie; a parameter of the operator, not a file of this repository.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,10 +17,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_simhash_bk(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op2_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return spans.removed(docs, spans.repeated_spans(docs))
+
+
+def op4_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find(table(spark, folder, "documents"), secret_scan.train())
+
+
 def op5_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, folder, "documents"))
 
 
+def op6_bm25_wand(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -38,7 +55,7 @@ def op10_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_codes, op7_toxicity_fm, op8_warc, op9_compression_bands, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_simhash_bk, op2_sentence_spans, op4_secret_forest, op5_language_codes, op6_bm25_wand, op7_toxicity_fm, op8_warc, op9_compression_bands, op10_bpe_tree)}
 
 
 #: A digit of base32 is five bits; five hex digits hold four.
