@@ -1,3 +1,77 @@
-STAGES = []
-def queries(): return {}
-def oracle_sql(): return {}
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, secrets, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before
+kept. The first three drop documents, the fourth replaces secrets in the text
+(and sets n_chars), the last returns the tokens of each document.
+
+Cases: what each operator says of nulls, empty and long texts, ties, repeated
+rows and empty tables holds for its stage; extra columns of documents stay as
+they are up to the last stage, which returns doc_id and the tokens.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.llm import bpe, decontam, quality, secret_scan, simhash
+from quillmark.llm.common import materialise
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the compression bands reject go."""
+    return quality.filter_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the smallest id."""
+    return simhash.drop_copies(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secret_scan.redact(docs, secret_scan.train(), length="n_chars" if "n_chars" in docs.columns else None)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the packed tokens, and digests of them and of the text that they decode to."""
+    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(*bpe.digest_columns("doc_id"), F.col("ids"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("byte-level BPE", tokens),
+]
+
+#: SQL can express neither the compression verdict nor the forest's; tests/llm hold run() against a brute-force version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

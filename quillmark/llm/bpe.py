@@ -32,7 +32,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_document
@@ -233,6 +233,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", tex
     return per_document(docs, [id], make, f"{id} {docs.schema[id].dataType.simpleString()}, ids binary, decoded binary", text)
 
 
+def digest_columns(id: str = "doc_id") -> list[Column]:
+    """id, n_tokens, ids_sha256 and decoded_sha256 of a round trip's columns."""
+    return [F.col(id), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def digests(coded: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of a round trip."""
-    return coded.select(id, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(*digest_columns(id))

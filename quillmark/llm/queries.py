@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, secret_scan, simhash, spans, toxicity, warc
+from . import bpe, decontam, langid, lm, quality, secret_scan, simhash, spans, toxicity, warc
 
 #: Where the ranks lie; a parameter of the operator, not a file of this repository.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,10 @@ def op2_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.removed(docs, spans.repeated_spans(docs))
 
 
+def op3_recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.held_out_scores(table(spark, folder, "documents"))
+
+
 def op4_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.find(table(spark, folder, "documents"), secret_scan.train())
 
@@ -55,7 +59,7 @@ def op10_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_bk, op2_sentence_spans, op4_secret_forest, op5_language_codes, op6_bm25_wand, op7_toxicity_fm, op8_warc, op9_compression_bands, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_simhash_bk, op2_sentence_spans, op3_recurrent_lm, op4_secret_forest, op5_language_codes, op6_bm25_wand, op7_toxicity_fm, op8_warc, op9_compression_bands, op10_bpe_tree)}
 
 
 #: A digit of base32 is five bits; five hex digits hold four.
