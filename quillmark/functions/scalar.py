@@ -37,7 +37,7 @@ def normalize(value: Column, compatibility: bool = True) -> Column:
 
 
 def normalize_text(value: str) -> str:
-    return _SPACES.sub(" ", unicodedata.normalize("NFKC", value or "").strip("\t\n\x0b\x0c\r \xa0                　﻿").replace("\\", "/")).lower()
+    return _SPACES.sub(" ", unicodedata.normalize("NFKC", value or "").replace("\\", "/")).strip(" ").lower()
 
 
 def stable_id(text: Column) -> Column:
