@@ -25,7 +25,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    return F.pandas_udf(_nfkc, "string")(text)
+    """NFKC; declared non-deterministic so that a filter on the result isn't pushed below it and evaluates it again."""
+    return F.pandas_udf(_nfkc, "string").asNondeterministic()(text)
 
 
 def normalize(value: Column, compatibility: bool = True) -> Column:
@@ -161,23 +162,26 @@ def printable(text: Column) -> Column:
 class SimHasher:
     """Token-frequency SimHash over the first eight bytes of SHA-256, little-endian; a tied bit is set."""
 
-    def __init__(self, memo: int = 200_000):
-        self.bits: dict[str, np.ndarray] = {}
+    def __init__(self, memo: int = 500_000):
+        self.digests: dict[str, int] = {}
         self.memo = memo
 
+    def digest(self, token: str) -> int:
+        known = self.digests.get(token)
+        if known is None:
+            if len(self.digests) >= self.memo:
+                self.digests.clear()
+            known = self.digests[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "little")
+        return known
+
     def __call__(self, text: str | None) -> str:
         tokens = _TOKEN.findall(normalize_text(text or ""))
         if not tokens:
             return ""
+        own = np.fromiter(map(self.digest, tokens), "<u8", len(tokens))
         votes = np.zeros(64, np.int64)
-        for token in tokens:
-            own = self.bits.get(token)
-            if own is None:
-                if len(self.bits) >= self.memo:
-                    self.bits.clear()
-                digest = np.frombuffer(hashlib.sha256(token.encode()).digest()[:8], np.uint8)
-                own = self.bits[token] = np.unpackbits(digest, bitorder="little").astype(np.int8)
-            votes += own
+        for at in range(0, len(own), 1 << 15):
+            votes += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         return f"{int(np.packbits(2 * votes >= len(tokens), bitorder='little').view('<u8')[0]):016x}"
 
 
@@ -186,8 +190,8 @@ def _simhash(texts: pd.Series) -> pd.Series:
 
 
 def simhash(text: Column) -> Column:
-    """Sixteen hex digits, or empty for a text without tokens; one pass, no shuffle."""
-    return F.pandas_udf(_simhash, "string")(text)
+    """Sixteen hex digits, or empty for a text without tokens; one pass, no shuffle. Declared non-deterministic like nfkc."""
+    return F.pandas_udf(_simhash, "string").asNondeterministic()(text)
 
 
 def fingerprint_bits(fingerprint: Column) -> Column:
