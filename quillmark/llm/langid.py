@@ -40,9 +40,9 @@ BLOCK = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 2400
+    sample_rows: int = 1600
     languages: int = 400
-    steps: int = 40
+    steps: int = 25
     rate: float = 0.7
     #: Texts whose best two codewords differ by less than this in loss per bit are ambiguous.
     margin: float = 0.1
