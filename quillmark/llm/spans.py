@@ -22,14 +22,16 @@ import re
 import zlib
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, blobs, lower, materialise
 
-LEAST_SENTENCES, LEAST_WORDS = 3, 20
+LEAST_SENTENCES, LEAST_WORDS = 3, 35
 #: Words of a sentence beyond which it is cut, and one of how many words ends a piece.
-LONG, PIECE = 24, 8
+LONG, PIECE = 12, 4
+#: Bits of the table that tells which rows may join.
+BITS = 1 << 24
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|$)")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -96,11 +98,25 @@ def document_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     return docs.where(F.col(id).isNotNull()).select(id, text).mapInArrow(run, schema)
 
 
+def likely_members(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
+    """The rows whose key may be among the members' keys (64-bit hashes), for an exact join to follow.
+
+    The members' bits in a table of ``BITS`` bits are grouped to words of 64,
+    so what is broadcast has at most BITS / 64 rows whatever the input; where
+    members fill the table more rows pass, none is lost.
+    """
+    place = lambda k: F.pmod(k, F.lit(BITS))
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = members.select(place(member).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    held = rows.withColumn("place", place(key)).withColumn("word", F.shiftright("place", 6))
+    return held.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, spans, source): of each document that holds other than first copies, their (at, n) by position and the smallest id that holds a first one."""
     own = materialise(document_runs(docs, id, text), "runs")
     first = materialise(own.groupBy("h", "g").agg(F.min(id).alias("source"), F.max(id).alias("last")).where("source < last").drop("last"), "repeats")
-    other = own.join(first, ["h", "g"]).where(F.col(id) > F.col("source")).select(id, "at", "n", "source")
+    other = likely_members(own, F.col("h"), first, F.col("h")).join(first, ["h", "g"]).where(F.col(id) > F.col("source")).select(id, "at", "n", "source")
     inner = own.where("again").select(id, "at", "n", F.col(id).alias("source"))
     return other.unionByName(inner).groupBy(id).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans"), F.min("source").alias("source"))
 
@@ -131,13 +147,14 @@ def removed(docs: DataFrame, spans: DataFrame, id: str = "doc_id", text: str = "
                 left = pa.array([m[0].decode("utf-8", "replace") for m in made], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), left], names=[id, "source", "n_sentences", "n_removed", text])
 
-    return docs.select(id, text).join(spans, id).select(id, "source", text, "spans").mapInArrow(run, schema)
+    spans = materialise(spans, "spans")
+    likely = likely_members(docs.select(id, text), F.xxhash64(id), spans, F.xxhash64(id))
+    return likely.join(spans, id).select(id, "source", text, "spans").mapInArrow(run, schema)
 
 
 def remove_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents and columns, the text without other than first copies of repeated spans."""
-    spans = materialise(repeated_spans(docs, id, text), "spans")
-    gone = materialise(removed(docs, spans, id, text).select(F.col(id), F.col(text).alias("left_text")).dropDuplicates([id]), "cut")
+    gone = materialise(removed(docs, repeated_spans(docs, id, text), id, text).select(F.col(id), F.col(text).alias("left_text")).dropDuplicates([id]), "cut")
     kept = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     joined = kept.join(gone.toDF("key", "left_text"), F.col(place[id]) == F.col("key"), "left")
