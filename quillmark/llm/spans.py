@@ -6,9 +6,13 @@ words. The runs of all documents meet in one aggregation; of a run that
 repeats, the first (smallest document id, then position) stays and the
 sentences that any other copy covers are removed.
 
-Sentences end at . ! ? or a line's end; one of more than ``LONG`` words is cut
-after words chosen by their hash, so that copies are cut alike wherever they
-stand. Case and white space don't count in the comparison.
+Sentences end at . ! ? or a line's end; one of ``PIECE`` words or more is cut
+by winnowing: after the word of the least hash in each ``PIECE`` words in a
+row. Cuts rest on the words around them alone, so copies are cut alike
+wherever they stand: all but PIECE words at a copy's start and PIECE - 1 at
+its end, and a run is at most PIECE - 1 words longer than it must be. Hence
+every copy of LEAST_WORDS + 3 * PIECE - 2 words (48) or more holds a run and
+is found, by construction. Case and white space don't count.
 
 Cases: null, empty and short texts have no runs; rows without id are left
 alone and not compared; rows that repeat an id count as one document; very
@@ -19,60 +23,86 @@ columns pass through ``remove_spans`` untouched.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, blobs, lower, materialise
 
-LEAST_SENTENCES, LEAST_WORDS = 3, 35
-#: Words of a sentence beyond which it is cut, and one of how many words ends a piece.
-LONG, PIECE = 12, 4
+LEAST_SENTENCES, LEAST_WORDS = 3, 32
+#: Words of a sentence from which it is cut, and words of a piece at most.
+PIECE = 6
 #: Bits of the table that tells which rows may join.
 BITS = 1 << 24
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|$)")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: The first eight and the next four bytes of a digest.
+_HALVES = struct.Struct("<qi")
 
 
-def sentences(data: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, normalised text) of each sentence that has a word; starts and ends are byte offsets."""
-    out = []
+def pieces(data: bytes) -> tuple[list[bytes], list[int]]:
+    """(normalised words, how many words there are up to each piece's end) of a text.
+
+    Pieces end at sentence ends and after the word of the least hash (of
+    equal ones the last) of each ``PIECE`` consecutive words of a sentence.
+    """
+    words: list[bytes] = []
+    ends: list[int] = []
+    for sentence in _SENTENCE.findall(lower(data)):
+        own = sentence.split()
+        if own:
+            words += own
+            ends.append(len(words))
+    if len(words) < PIECE:
+        return words, ends
+    place = np.arange(len(words))
+    # one key tells hash and place; the later of equal hashes is the lesser
+    key = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) << 31 | (len(words) - 1 - place)
+    least = key[: len(words) - PIECE + 1].copy()
+    for i in range(1, PIECE):
+        np.minimum(least, key[i : len(words) - PIECE + 1 + i], out=least)
+    last = np.array(ends)
+    sentence_of = np.searchsorted(last, place, "right")
+    whole = sentence_of[: len(least)] == sentence_of[PIECE - 1 :]
+    chosen = len(words) - (least[whole] & 0x7FFFFFFF)
+    return words, np.union1d(last, chosen).tolist()
+
+
+def sentences(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of each piece of a text by byte offset."""
+    _, ends = pieces(data)
+    cuts, out, n = set(ends), [], 0
     for found in _SENTENCE.finditer(data):
         start, end = found.span()
-        words = lower(data[start:end]).split()
-        if len(words) <= LONG:
-            if words:
-                out.append((start, end, len(words), b" ".join(words)))
-            continue
         places = [m.span() for m in _WORD.finditer(data, start, end)]
-        first = 0
-        for i, word in enumerate(words):
-            if i + 1 == len(words) or zlib.crc32(word) % PIECE == 0:
-                out.append((start if not first else places[first][0], end if i + 1 == len(words) else places[i][1], i + 1 - first, b" ".join(words[first : i + 1])))
-                first = i + 1
+        for i, (_, word_end) in enumerate(places):
+            n += 1
+            if n in cuts:
+                out.append((start, end if i + 1 == len(places) else word_end))
+                start = places[i + 1][0] if i + 1 < len(places) else end
     return out
 
 
 def runs(data: bytes) -> list[tuple[int, int, int, int, bool]]:
     """(hash, more hash, first sentence, sentences, repeats an earlier run of this text) of each run."""
-    own = sentences(data)
+    words, ends = pieces(data)
     digest = xxhash.xxh3_128_digest
-    hashes = [digest(s[3]) for s in own]
-    counts = [s[2] for s in own]
+    starts = [0, *ends[:-1]]
+    hashes = [digest(b" ".join(words[a:b])) for a, b in zip(starts, ends, strict=False)]
     out, seen = [], set()
-    end = words = 0
-    for i in range(len(own)):
-        while end < len(own) and (end - i < LEAST_SENTENCES or words < LEAST_WORDS):
-            words += counts[end]
+    end = 0
+    for i, start in enumerate(starts[: len(ends)]):
+        while end < len(ends) and (end - i < LEAST_SENTENCES or ends[end - 1] - start < LEAST_WORDS):
             end += 1
-        if end - i < LEAST_SENTENCES or words < LEAST_WORDS:
+        if end - i < LEAST_SENTENCES or ends[end - 1] - start < LEAST_WORDS:
             break
         key = digest(b"".join(hashes[i:end]))
-        out.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:12], "little", signed=True), i, end - i, key in seen))
+        out.append((*_HALVES.unpack_from(key), i, end - i, key in seen))
         seen.add(key)
-        words -= counts[i]
     return out
 
 
@@ -126,7 +156,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     own = sentences(data)
     gone = {i for at, n in spans for i in range(at, at + n)}
     out, at = [], 0
-    for i, (start, end, _, _) in enumerate(own):
+    for i, (start, end) in enumerate(own):
         if i in gone:
             out.append(data[at:start])
             at = end

@@ -114,6 +114,20 @@ def test_planted_passage(spark):
     assert whole[3] == out[3]["text"] and len(whole) == 4
 
 
+def test_every_copy_of_48_words_shares_a_run():
+    rng = random.Random(3)
+    prose = lambda n: [rng.choice("the of And a É run long WORDS".split()) + rng.choice(("",) * 9 + (".", "\n")) if rng.random() < 0.3 else f"w{rng.randrange(400)}" for _ in range(n)]
+    for _ in range(300):
+        passage = prose(spans.LEAST_WORDS + 3 * spans.PIECE - 2)
+        texts = [" ".join([*prose(rng.randrange(60)), *passage, *prose(rng.randrange(60))]).encode() for _ in range(2)]
+        held = [{r[:2] for r in spans.runs(t)} for t in texts]
+        assert held[0] & held[1]
+        for text in texts:
+            words, ends = spans.pieces(text)
+            cut = [spans.lower(text[a:b]).split() for a, b in spans.sentences(text)]
+            assert cut == [words[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 # -- 3 ----------------------------------------------------------------------------
 
 
