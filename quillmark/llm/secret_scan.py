@@ -47,7 +47,7 @@ NAMES = b"password passwd pwd secret token apikey api_key api-key access_key acc
 #: Words that tell of something else (fixed values).
 OTHERS = b"example sample test dummy placeholder changeme your sha sha1 sha256 md5 commit checksum digest hash uuid guid revision version etag integrity build id href src path file image isbn phone".split()
 #: Ordinary words for dictionary coverage (fixed values).
-DICTIONARY = b"""about access account action active address admin after again agent align allow alpha also amount android apple application archive array article assets async author backend background banner base before begin below between binary block board body bottom branch build button cache call center change channel char check child class clear click client close cloud code color column command comment common company complete config connect content context control copy core count country create current custom data date debug default delete demo design detail device dialog display document domain down draft driver edit element email empty enable end engine entry error event example export extension false feature field file filter final first flag folder font footer format frame from front function general get global green group handle hash header height help hidden home host html icon image import index info input install internal item java javascript json key label language large last layer layout left length level library light line link list load local location login logo long main make manager mark master match media menu message method middle mobile mode model module month name native network next node normal note null number object offset open option order output package page panel parent password path pattern phone photo place player plugin point policy popup position post present press preview price primary print private process product profile program project property public query random range read record release remote remove render report request require reset resource response result return right root route sample save scale screen script search second secret section select send server service session setting share short show sign simple single site size small source space spec split stack standard start state static status storage store stream string style submit success support switch system table target task team template test text theme thing this thumb time title token tool total track transfer tree true type under unit update upload user utils value version video view virtual visible visit wait warning watch website white widget width window with word work world write year zone""".split()
+DICTIONARY = b"""about access account action active address admin align allow also amount application archive array article async author backend background binary block board body build button call change check child class clear click client close cloud code color column command config content context control copy core count country create data date debug default delete design detail display document domain down element email empty end entry error event example export feature field file filter font from function get global group hash header height home html image import index internal java json key label language layout library line link list load login master match message method model name network node number option order output package page parent password path phone post present print product profile program project property public query read record remove report request require resource response save script search secret select send server service session setting share source start static status store string system table team template test text theme time title token update user value version video view watch website widget width window word work world write year""".split()
 _ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(re.escape(n) for n in NAMES) + rb")[\"']?\s*(?::=|=>|[:=])\s*[\"']?([^\s\"'`;,<>]{8,200})")
 _IN_URL = re.compile(rb"://[^/\s:@]{1,80}:([^/\s:@]{4,100})@")
 #: Runs that may be keys: sixteen characters or more of the alphabets that keys are written in, a digit among them.
