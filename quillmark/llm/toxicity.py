@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed terms (words and their beginnings). The
-machine adds to a linear score a learned interaction of every two terms, the
+A text is the set of its hashed terms: words, their beginnings, and beginnings
+that two or more different words of the text share (one of an insult's forms
+may well be chance, several are not). The machine adds to a linear score a learned interaction of every two terms, the
 product of their factor vectors, which a single linear pass computes; so a
 pair such as an insult and a group's name can weigh more than both alone.
 
@@ -34,6 +35,8 @@ BINS = 1 << 20
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Words whose bins a task remembers.
 MEMO = 300_000
+#: Sets the hashes of shared beginnings apart from those of beginnings.
+SHARED = 100
 
 
 @dataclass(frozen=True)
@@ -47,16 +50,16 @@ class Settings:
     rate: float = 0.08
     decay: float = 2e-4
     #: Beginnings of words, in bytes, that are terms beside the word.
-    prefixes: tuple[int, ...] = (4, 5, 6)
+    prefixes: tuple[int, ...] = (4, 5, 6, 7)
     threshold: float = 0.3
     seed: int = 11
 
 
-def bins_of(word: bytes, prefixes: tuple[int, ...]) -> tuple[int, ...]:
-    """The word's own bin and those of its beginnings."""
-    out = [zlib.crc32(word) % BINS]
-    out += [zlib.crc32(word[:n], n) % BINS for n in prefixes if len(word) > n]
-    return tuple(out)
+def bins_of(word: bytes, prefixes: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """(bins of the word and of its beginnings, bins that count where another word of the text has them too)."""
+    heads = [(word[:n], n) for n in prefixes if len(word) > n]
+    alone = (zlib.crc32(word) % BINS, *(zlib.crc32(head, n) % BINS for head, n in heads))
+    return alone, tuple(zlib.crc32(head, SHARED + n) % BINS for head, n in heads)
 
 
 def words_of(data: bytes) -> set[bytes]:
@@ -64,7 +67,9 @@ def words_of(data: bytes) -> set[bytes]:
 
 
 def terms_of(data: bytes, prefixes: tuple[int, ...]) -> np.ndarray:
-    return np.unique(np.fromiter((b for w in words_of(data) for b in bins_of(w, prefixes)), np.int32))
+    found = [bins_of(w, prefixes) for w in words_of(data)]
+    shared, n = np.unique(np.fromiter((b for _, own in found for b in own), np.int32), return_counts=True)
+    return np.union1d(np.fromiter((b for own, _ in found for b in own), np.int32), shared[n > 1])
 
 
 class FactorizationMachine:
@@ -137,19 +142,23 @@ class FactorizationMachine:
 
     def scorer(self):
         """A function from a text's bytes to (score, predicted)."""
-        memo: dict[bytes, tuple[int, ...]] = {}
+        memo: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]] | tuple[()]] = {}
         place, prefixes, threshold = self.place, self.settings.prefixes, self.settings.threshold
 
         def one(data: bytes) -> tuple[float, int]:
             found: set[int] = set()
+            once: set[int] = set()
             for word in words_of(data):
                 own = memo.get(word)
                 if own is None:
                     if len(memo) >= MEMO:
                         memo.clear()
-                    own = memo[word] = tuple(place[b] for b in bins_of(word, prefixes) if b in place)
+                    own = tuple(tuple(place[b] for b in bins if b in place) for bins in bins_of(word, prefixes))
+                    own = memo[word] = own if any(own) else ()
                 if own:
-                    found.update(own)
+                    found.update(own[0])
+                    found.update(once.intersection(own[1]))
+                    once.update(own[1])
             y = self.raw(np.fromiter(sorted(found), np.int64, len(found)))
             score = 1 / (1 + np.exp(-min(max(y, -30.0), 30.0)))
             return float(score), int(score >= threshold)
