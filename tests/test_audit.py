@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -71,3 +72,18 @@ def test_split_and_packages(spark):
     mixed = files(spark, *({"supplier": "all", "path": p, "sha256": p[-1]} for p in ("x/1", "2")))
     assert {r["supplier"] for r in review.split_by_top_directory(mixed).collect()} == {"all"}
     assert normalize_text("\u3000A\tB ") == "a b"
+
+
+def test_near_fingerprints_are_brute_force(spark):
+    rng = random.Random(7)
+    values = [0, (1 << 64) - 1, 1 << 63]
+    for _ in range(40):
+        values.append(rng.getrandbits(64))
+        values += [values[-1] ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 2, 3, 4)]
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    distance = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    expected = sorted((a, b, distance(a, b)) for a in signed for b in signed if distance(a, b) <= 3)
+    prints = spark.createDataFrame([(v,) for v in signed], "bits long")
+    for shared in (1, 2):
+        assert sorted(map(tuple, correlate.near_fingerprints(prints, 3, shared).collect())) == expected
+    assert correlate.near_fingerprints(prints.limit(0)).count() == 0
