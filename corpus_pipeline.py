@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontam, quality, secret_scan, simhash
+from quillmark.llm import bpe, decontam, near, quality, secret_scan
 from quillmark.llm.common import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest id."""
-    return simhash.drop_copies(docs)
+    """One document of each group whose five-word shingles are 0.8 similar or more stays, the one of the smallest id."""
+    return near.drop_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

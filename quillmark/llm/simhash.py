@@ -14,8 +14,8 @@ that it finds; their components are found by contraction.
 Cases: null, empty and blank texts have fingerprint zero and link like any
 other; texts of fewer than four words are one shingle; rows that repeat an id
 are one member each; rows without id get their group's smallest id (null if
-the group has none) and ``drop_copies`` leaves them; an empty table gives an
-empty table; very long texts are hashed in blocks; extra columns are ignored.
+the group has none); an empty table gives an empty table; very long texts are
+hashed in blocks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,14 +203,3 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     linked = roots.join(least, "root").select("fp", "group_least")
     classes = materialise(nodes.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")), "classes")
     return own.join(classes, "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each group, the one of the smallest id, all columns as they are."""
-    groups = materialise(near_duplicates(docs, id, text, radius).select(F.col(id).alias("own"), "component_id"), "near-duplicates")
-    gone = materialise(groups.where("own <> component_id").select(F.col("own").alias(id)).distinct(), "copies")
-    kept = docs.join(gone, id, "left_anti").select(*docs.columns)
-    twice = materialise(groups.where("own = component_id").groupBy(F.col("own").alias(id)).count().where("count > 1").select(id), "repeated")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, id, "left_anti").select(*docs.columns).unionByName(kept.join(twice, id, "left_semi").dropDuplicates([id]).select(*docs.columns))
