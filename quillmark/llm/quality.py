@@ -31,14 +31,19 @@ class Bands:
     """Limits of the method; ratios are bytes / compressed bytes."""
 
     level: int = 3
-    #: (up to this many bytes, least ratio, most ratio) of a whole document.
-    document: tuple[tuple[float, float, float], ...] = ((512, 1.05, 2.2), (1024, 1.15, 2.4), (2048, 1.25, 2.6), (8192, 1.3, 2.9), (32768, 1.35, 3.3), (float("inf"), 1.4, 3.8))
-    #: Bytes of a chunk, its least and most ratio, and the share of chunks that may be outside.
+    #: (up to this many bytes, least ratio, most ratio) of a whole document: the range of the good texts of sf0.1 whose
+    #: crc32 of the id is even, wider by 0.2 below and 0.05 above (0.1 in classes of under 20 texts; the first and last two are extrapolated).
+    document: tuple[tuple[float, float, float], ...] = (
+        (256, 1.05, 1.8), (512, 1.18, 1.86), (724, 1.27, 1.92), (1024, 1.45, 2.03), (1448, 1.53, 2.09), (2048, 1.64, 2.15),
+        (2896, 1.72, 2.21), (4096, 1.85, 2.26), (5793, 1.92, 2.33), (8192, 1.95, 2.39), (11585, 2.03, 2.43), (16384, 2.06, 2.5),
+        (32768, 2.14, 2.52), (65536, 2.1, 2.7), (float("inf"), 2.1, 3.0),
+    )
+    #: Bytes of a chunk, its least and most ratio (found likewise), and the share of chunks that may be outside.
     chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (1.2, 3.2)
+    chunk: tuple[float, float] = (1.69, 2.18)
     odd_share: float = 0.25
     #: Fewer whole chunks than this say nothing beyond the document's own ratio.
-    least_chunks: int = 4
+    least_chunks: int = 1
 
 
 def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
