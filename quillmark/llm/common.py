@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the separators of words: space and U+0009 to U+000D (what bytes.split() splits on).
 SPACES = b" \t\n\x0b\x0c\r"
@@ -17,9 +19,11 @@ BATCH_ROWS = 512
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -100,3 +104,24 @@ def keep_rows(docs: DataFrame, verdict: Callable[[], Callable[[bytes], bool]], t
                 yield part.filter(pa.array([one(blob) for blob in blobs(part.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def with_made(docs: DataFrame, make: Callable[[], Callable[[bytes], tuple]], schema: str, text: str = "text") -> DataFrame:
+    """All columns as they are, and after them what a function of the whole text makes (a tuple in the order of ``schema``)."""
+    at = docs.columns.index(text)
+    made_schema = docs.sparkSession.createDataFrame([], schema).schema
+    out_schema = StructType([*docs.schema.fields, *made_schema.fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(made_schema)
+        one = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                rows = [one(blob) for blob in blobs(part.column(at))]
+                made = [pa.array(values, kinds.field(i).type) for i, values in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *kinds.names])
+
+    return docs.mapInArrow(run, out_schema)

@@ -39,8 +39,11 @@ def components(links: DataFrame) -> DataFrame:
         out = out.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     # a hook goes to a smaller node that may itself have hooked in the same round
     while True:
-        jump = out.toDF("root", "next")
+        jump, last = out.toDF("root", "next"), out
         out = materialise(out.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "roots")
+        for used in hooks or [last]:
+            discard(used)
+        hooks = []
         if out.where("moved").isEmpty():
             return out.drop("moved")
         out = out.drop("moved")

@@ -20,7 +20,7 @@ hashed in blocks; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +52,11 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
     starts = [0, *(e + 1 for e in ends[: len(own) - words])]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of unsigned 64-bit hashes."""
     votes = np.zeros(64, np.int64)
     for block in range(0, len(hashes), BLOCK):
         votes += np.unpackbits(hashes[block : block + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -129,64 +134,73 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints of prints (fp long) that join all that are radius bits apart or less."""
-    n = prints.count()
-    # more blocks to agree in where there are more fingerprints, so that shards stay small
-    shared = next((c for c in (1, 2, 3) if n >> (64 * c // (c + radius)) <= SHARD_ROWS // 2), 4)
-    keys = F.array(*(F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(block_masks(shared, radius))))
-    dealt = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
-    sizes = materialise(dealt.groupBy("t", "key").count().where(F.col("count") > SHARD_ROWS).select("t", "key", F.ceil(F.col("count") / (SHARD_ROWS // 2)).cast("int").alias("parts")), "shards")
+def cut_shards(dealt: DataFrame, keys: list[str], by: str, most: int = SHARD_ROWS) -> DataFrame:
+    """dealt with a column part: a shard (rows of equal keys) of more than ``most`` rows is cut by ``by`` into parts, and each pair of parts is a shard of its own."""
+    sizes = materialise(dealt.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / (most // 2)).cast("int").alias("parts")), "shards")
     if sizes.isEmpty():
-        shards = dealt.select("t", "key", F.lit(0).cast("long").alias("part"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-        cut = dealt.join(sizes, ["t", "key"], "left").select("t", "key", "fp", "parts", own.alias("own"), F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0) ELSE sequence(0, parts - 1) END")).alias("other"))
-        pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-        # parts meet in pairs, so a part alone needn't be searched again
-        shards = cut.where("parts IS NULL OR own <> other").select("t", "key", F.coalesce(pair, F.lit(0)).cast("long").alias("part"), "fp")
+        return dealt.withColumn("part", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64(by), F.col("parts"))
+    cut = dealt.join(sizes, keys, "left").select(*dealt.columns, "parts", own.alias("own"), F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0) ELSE sequence(0, parts - 1) END")).alias("other"))
+    pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    # parts meet in pairs, so a part alone needn't be searched again
+    return cut.where("parts IS NULL OR own <> other").select(*dealt.columns, F.coalesce(pair, F.lit(0)).cast("long").alias("part"))
+
+
+def search_shards(shards: DataFrame, keys: list[str], columns: list[str], one: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """The rows that ``one`` makes of each shard of two rows or more; it gets the shard's columns as arrays and gives back arrays in the order of ``schema``. A task holds a batch and a shard at a time."""
+    keys = [*keys, "part"]
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def search(batches):
         import pyarrow as pa
 
-        def links(values: np.ndarray):
-            values = np.unique(values.view(np.uint64))
-            member, root = forest(values, radius)
-            return values[member].view(np.int64), values[root].view(np.int64)
-
-        held: list[tuple[np.ndarray, ...]] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[list[np.ndarray]] = []
 
-        def flush(table: tuple[np.ndarray, ...], last: bool):
+        def flush(table: list[np.ndarray], last: bool) -> list[np.ndarray]:
             """Search the complete shards of rows sorted by shard; give back the rows of the one that may go on."""
-            t, key, part, fp = table
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            starts, ends = [0, *cuts], [*cuts, len(fp)]
+            differs = np.logical_or.reduce([c[1:] != c[:-1] for c in table[: len(keys)]])
+            cuts = np.flatnonzero(differs) + 1
+            starts, ends = [0, *cuts], [*cuts, len(table[0])]
             for a, b in list(zip(starts, ends, strict=True))[: None if last else -1]:
-                if b - a > 1:
-                    got = links(fp[a:b])
-                    if len(got[0]):
-                        found.append(got)
-            return tuple(c[starts[-1] :] for c in table)
+                if b - a > 1 and len((got := one(*(c[a:b] for c in table[len(keys) :])))[0]):
+                    found.append(got)
+            return [c[starts[-1] :] for c in table]
 
-        def out():
+        def out() -> pa.RecordBatch:
             got = [np.concatenate(x) for x in zip(*found, strict=True)]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
 
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
-            held = [flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)), False)]
-            if found:
-                yield out()
-        if held:
-            flush(held[0], True)
+            for at in range(0, batch.num_rows, SHARD_ROWS):
+                part = batch.slice(at, SHARD_ROWS)
+                rows = [part.column(i).to_numpy(zero_copy_only=False) for i in range(part.num_columns)]
+                held = flush(rows if held is None else [np.concatenate(c) for c in zip(held, rows, strict=True)], False)
+                if found:
+                    yield out()
+        if held is not None:
+            flush(held, True)
             if found:
                 yield out()
 
-    return shards.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part").mapInArrow(search, "a long, b long")
+    return shards.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, schema)
+
+
+def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints of prints (fp long) that join all that are radius bits apart or less."""
+    n = prints.count()
+    # more blocks to agree in where there are more fingerprints, so that shards stay small
+    shared = next((c for c in (1, 2, 3) if n >> (64 * c // (c + radius)) <= SHARD_ROWS // 2), 4)
+    keys = F.array(*(F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(block_masks(shared, radius))))
+    dealt = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
+
+    def links(values: np.ndarray) -> list[np.ndarray]:
+        values = np.unique(values.view(np.uint64))
+        member, root = forest(values, radius)
+        return [values[member].view(np.int64), values[root].view(np.int64)]
+
+    return search_shards(cut_shards(dealt, ["t", "key"], "fp"), ["t", "key"], ["fp"], links, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
