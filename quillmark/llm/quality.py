@@ -2,7 +2,8 @@
 
 zstandard ratios (bytes over compressed bytes) of the whole document and of
 its fixed chunks are held against limits for the length: a ratio above the
-band tells repetitive text, one below it incompressible text.
+band tells repetitive text, one below it incompressible text. A text shorter
+than a chunk is judged by the document's limits for its length alone.
 
 Cases: null, empty and blank texts have no words and fail the base rule;
 repeated rows and null ids are judged row by row; very long texts are
@@ -42,8 +43,8 @@ class Bands:
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (1.69, 2.18)
     odd_share: float = 0.25
-    #: Fewer whole chunks than this say nothing beyond the document's own ratio.
-    least_chunks: int = 1
+    #: One chunk beyond these is enough: good chunks lie from 1.88 to 2.14, text in base64 at 1.3, a phrase said over and over above 20.
+    far: tuple[float, float] = (1.35, 3.0)
 
 
 def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
@@ -81,19 +82,19 @@ class CompressionJudge:
     def ratio(self, data: bytes) -> float:
         return len(data) / len(self.zstd.compress(data)) if data else 0.0
 
-    def measure(self, data: bytes) -> tuple[float, int, int]:
-        """(ratio of the whole, whole chunks, chunks outside their band)."""
+    def measure(self, data: bytes) -> tuple[float, int, int, int]:
+        """(ratio of the whole, chunks, chunks outside their band, chunks far outside). What is left beyond the whole chunks is judged within the last chunk_bytes of the text."""
         size = self.bands.chunk_bytes
-        chunks = len(data) // size
-        low, high = self.bands.chunk
-        odd = 0
-        if chunks >= self.bands.least_chunks:
-            odd = sum(not low <= self.ratio(data[i * size : (i + 1) * size]) <= high for i in range(chunks))
-        return self.ratio(data), chunks, odd
-
-    def accepts(self, n_bytes: int, ratio: float, chunks: int, odd: int) -> bool:
+        starts = list(range(0, len(data) - size + 1, size))
+        if starts and len(data) % size:
+            starts.append(len(data) - size)
+        ratios = [self.ratio(data[at : at + size]) for at in starts]
+        outside = lambda band: sum(not band[0] <= r <= band[1] for r in ratios)
+        return self.ratio(data), len(ratios), outside(self.bands.chunk), outside(self.bands.far)
+
+    def accepts(self, n_bytes: int, ratio: float, chunks: int, odd: int, far: int) -> bool:
         least, most = next((low, high) for upto, low, high in self.bands.document if n_bytes <= upto)
-        return least <= ratio <= most and not (chunks >= self.bands.least_chunks and odd > self.bands.odd_share * chunks)
+        return least <= ratio <= most and odd <= self.bands.odd_share * chunks and not far
 
 
 def judge_documents(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,13 +106,13 @@ def judge_documents(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id",
         def one(data: bytes) -> tuple:
             counts = base_counts(data)
             failed = base_fails(counts[0], counts[4])
-            ratio, chunks, odd = judge.measure(data)
-            return (*counts, failed, not failed and judge.accepts(len(data), ratio, chunks, odd), ratio, chunks, odd)
+            measured = judge.measure(data)
+            return (*counts, failed, not failed and judge.accepts(len(data), *measured), *measured)
 
         return one
 
     kind = docs.schema[id].dataType.simpleString()
-    schema = f"{id} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, n_chunks long, n_odd_chunks long"
+    schema = f"{id} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, n_chunks long, n_odd_chunks long, n_far_chunks long"
     return per_document(docs, [id], make, schema, text)
 
 
