@@ -14,7 +14,8 @@ they hold the HTTP head, which keeps the payload's length, and no payload.
 
 Cases: a null html is an empty payload; a null page_id gives a record without
 page number, read back as null, and never is what others refer to while an
-equal payload has a number (if none has, all are responses); rows that repeat
+equal payload has a number (if none has, all are responses); an archive that
+ends inside a record is an error, never a shorter result; rows that repeat
 the smallest page_id of a payload are all responses; an empty table gives an
 archive folder without records; extra columns are not written.
 """
@@ -95,6 +96,8 @@ class RecordStream:
         self.source, self.compressed, self.block = source, compressed, block
         self.inflate = zlib.decompressobj(31) if compressed else None
         self.held, self.at, self.raw = b"", 0, b""
+        #: Whether a gzip member has begun and not ended.
+        self.inside = False
 
     def _more(self) -> bool:
         """Hold more plain bytes; False at the end of the stream."""
@@ -102,11 +105,14 @@ class RecordStream:
             data = self.raw or self.source.read(self.block)
             self.raw = b""
             if not data:
+                if self.inside:
+                    raise ValueError("the archive ends inside a gzip member")
                 return False
             if not self.compressed:
                 plain = data
             else:
                 plain = self.inflate.decompress(data, 1 << 20)
+                self.inside = not self.inflate.eof
                 if self.inflate.eof:
                     self.raw, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
                 else:
@@ -122,6 +128,8 @@ class RecordStream:
                 head, self.at = self.held[self.at : end], end + 4
                 return head
             if not self._more():
+                if self.held[self.at :].strip(b"\r\n"):
+                    raise ValueError("the archive ends inside a record's header")
                 return None
 
     def _take(self, n: int, keep: bool) -> bytes:
@@ -329,7 +337,6 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def plan_records(pages: DataFrame, page: str = "page_id", uri: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -356,8 +363,13 @@ def write_pages(pages: DataFrame, path: str, **columns) -> None:
 
 
 def read_records(spark: SparkSession, path: str, columns: list[str] | None = None, verify: bool = False) -> DataFrame:
-    """The records of an archive folder; without payload among the columns none is decoded (unless verified)."""
+    """The records of an archive folder; without payload among the columns none is decoded (unless verified).
+
+    Spark hands predicates to Python sources only where the session's
+    spark.sql.python.filterPushdown.enabled is set, so it is set here.
+    """
     register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     schema = T.StructType([SCHEMA[c] for c in columns]) if columns else SCHEMA
     return spark.read.format("warc").schema(schema).option("verifyDigest", verify).load(path)
 
