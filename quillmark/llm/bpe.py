@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -197,12 +198,17 @@ class ByteBPE:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+@lru_cache(maxsize=2)
+def worker_bpe(path: str, pattern: str) -> ByteBPE:
+    """The encoder of a Python worker, which serves all of its tasks."""
+    return ByteBPE(load_ranks(path), pattern)
+
 
 def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids): ids is the binary of little-endian unsigned 32-bit tokens of each whole text."""
 
     def make():
-        bpe = ByteBPE(load_ranks(path), pattern)
+        bpe = worker_bpe(path, pattern)
         return lambda blob: (bpe.encode_packed(blob.decode("utf-8", "replace")),)
 
     return per_document(docs, [id], make, f"{id} {docs.schema[id].dataType.simpleString()}, ids binary", text)
@@ -212,7 +218,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id: str = "doc_id") -> D
     """(id, decoded): the bytes of a packed ids column."""
 
     def make():
-        bpe = ByteBPE(load_ranks(path), pattern)
+        bpe = worker_bpe(path, pattern)
         return lambda blob: (bpe.decode(np.frombuffer(blob, "<u4").tolist()),)
 
     return per_document(encoded, [id], make, f"{id} {encoded.schema[id].dataType.simpleString()}, decoded binary", "ids")
@@ -222,7 +228,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", tex
     """(id, ids, decoded) in one pass: encode every whole text, then decode the ids made."""
 
     def make():
-        bpe = ByteBPE(load_ranks(path), pattern)
+        bpe = worker_bpe(path, pattern)
 
         def one(blob: bytes) -> tuple[bytes, bytes]:
             packed = bpe.encode_packed(blob.decode("utf-8", "replace"))
