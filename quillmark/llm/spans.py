@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of consecutive sentences is hashed: from each sentence on, the
-shortest run of ``LEAST_SENTENCES`` sentences or more that has ``LEAST_WORDS``
-words. The runs of all documents meet in one aggregation; of a run that
+Runs of consecutive sentences are hashed: from each sentence on, and back from
+each sentence's end, the shortest run of ``LEAST_SENTENCES`` sentences or more
+that has ``LEAST_WORDS`` words, so a repeat of whole sentences is covered from
+its first word to its last. The runs of all documents meet in one aggregation;
+of a run that
 repeats, the first (smallest document id, then position) stays and the
 sentences that any other copy covers are removed.
 
@@ -25,27 +27,28 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, blobs, lower, materialise
+from .common import BATCH_ROWS, SPACES, blobs, lower, materialise
 
 LEAST_SENTENCES, LEAST_WORDS = 3, 32
 #: Words of a sentence from which it is cut, and words of a piece at most.
 PIECE = 6
-#: Bits of the table that tells which rows may join.
-BITS = 1 << 24
+#: Bits of the table that tells which rows may join: eight a member, within these bounds.
+BITS = (1 << 18, 1 << 27)
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|$)")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The first eight and the next four bytes of a digest.
 _HALVES = struct.Struct("<qi")
 
 
-def pieces(data: bytes) -> tuple[list[bytes], list[int]]:
-    """(normalised words, how many words there are up to each piece's end) of a text.
+def pieces(data: bytes) -> tuple[list[bytes], list[int], list[int]]:
+    """(normalised words, how many words there are up to each piece's end, how many pieces up to each sentence's end) of a text.
 
     Pieces end at sentence ends and after the word of the least hash (of
     equal ones the last) of each ``PIECE`` consecutive words of a sentence.
@@ -58,7 +61,7 @@ def pieces(data: bytes) -> tuple[list[bytes], list[int]]:
             words += own
             ends.append(len(words))
     if len(words) < PIECE:
-        return words, ends
+        return words, ends, [*range(1, len(ends) + 1)]
     place = np.arange(len(words))
     # one key tells hash and place; the later of equal hashes is the lesser
     key = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) << 31 | (len(words) - 1 - place)
@@ -69,12 +72,13 @@ def pieces(data: bytes) -> tuple[list[bytes], list[int]]:
     sentence_of = np.searchsorted(last, place, "right")
     whole = sentence_of[: len(least)] == sentence_of[PIECE - 1 :]
     chosen = len(words) - (least[whole] & 0x7FFFFFFF)
-    return words, np.union1d(last, chosen).tolist()
+    cuts = np.union1d(last, chosen)
+    return words, cuts.tolist(), np.searchsorted(cuts, last, "right").tolist()
 
 
 def sentences(data: bytes) -> list[tuple[int, int]]:
     """(start, end) of each piece of a text by byte offset."""
-    _, ends = pieces(data)
+    _, ends, _ = pieces(data)
     cuts, out, n = set(ends), [], 0
     for found in _SENTENCE.finditer(data):
         start, end = found.span()
@@ -89,17 +93,27 @@ def sentences(data: bytes) -> list[tuple[int, int]]:
 
 def runs(data: bytes) -> list[tuple[int, int, int, int, bool]]:
     """(hash, more hash, first sentence, sentences, repeats an earlier run of this text) of each run."""
-    words, ends = pieces(data)
+    words, ends, last = pieces(data)
     digest = xxhash.xxh3_128_digest
     starts = [0, *ends[:-1]]
     hashes = [digest(b" ".join(words[a:b])) for a, b in zip(starts, ends, strict=False)]
-    out, seen = [], set()
-    end = 0
-    for i, start in enumerate(starts[: len(ends)]):
-        while end < len(ends) and (end - i < LEAST_SENTENCES or ends[end - 1] - start < LEAST_WORDS):
+    long_enough = lambda a, b: b - a >= LEAST_SENTENCES and ends[b - 1] - starts[a] >= LEAST_WORDS
+    chosen, end = [], 0
+    for i in range(len(ends)):
+        while end < len(ends) and not long_enough(i, end):
             end += 1
-        if end - i < LEAST_SENTENCES or ends[end - 1] - start < LEAST_WORDS:
+        if not long_enough(i, end):
             break
+        chosen.append((i, end))
+    # the shortest run that ends with a sentence, so that a repeat is covered to that end
+    known = set(chosen)
+    for end in last:
+        i = bisect_left(starts, ends[end - 1] - LEAST_WORDS + 1, 0, end) - 1
+        i = min(i, end - LEAST_SENTENCES)
+        if i >= 0 and (i, end) not in known:
+            chosen.append((i, end))
+    out, seen = [], set()
+    for i, end in sorted(chosen):
         key = digest(b"".join(hashes[i:end]))
         out.append((*_HALVES.unpack_from(key), i, end - i, key in seen))
         seen.add(key)
@@ -131,11 +145,12 @@ def document_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 def likely_members(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
     """The rows whose key may be among the members' keys (64-bit hashes), for an exact join to follow.
 
-    The members' bits in a table of ``BITS`` bits are grouped to words of 64,
-    so what is broadcast has at most BITS / 64 rows whatever the input; where
-    members fill the table more rows pass, none is lost.
+    The members' bits are grouped to words of 64, so what is broadcast has at
+    most BITS[1] / 64 rows (two million) whatever the input; where members
+    fill the table more rows pass, none is lost.
     """
-    place = lambda k: F.pmod(k, F.lit(BITS))
+    bits = min(max(1 << (8 * members.count()).bit_length(), BITS[0]), BITS[1])
+    place = lambda k: F.pmod(k, F.lit(bits))
     one = F.expr("shiftleft(1L, cast(place & 63 as int))")
     words = members.select(place(member).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
     held = rows.withColumn("place", place(key)).withColumn("word", F.shiftright("place", 6))
@@ -156,10 +171,13 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     own = sentences(data)
     gone = {i for at, n in spans for i in range(at, at + n)}
     out, at = [], 0
-    for i, (start, end) in enumerate(own):
+    for i, (start, _) in enumerate(own):
         if i in gone:
-            out.append(data[at:start])
-            at = end
+            if i - 1 not in gone:
+                out.append(data[at:start])
+            # the white space after what goes, goes with it
+            following = own[i + 1][0] if i + 1 < len(own) else len(data)
+            at = following + len(data[following:]) - len(data[following:].lstrip(SPACES)) if i + 1 < len(own) and i + 1 not in gone else following
     return b"".join([*out, data[at:]]), len(own), len(gone)
 
 
