@@ -6,15 +6,18 @@ whose word hasn't. A text's language is the codeword of least weighted loss
 (each bit weighted by how well its classifier does on the language), and texts
 whose two best codewords are nearly as close are flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample (``Settings.sample_rows``) of
-the labelled rows, taken by a hash of the id evenly over the languages; every
-whole text is scored.
+The classifiers are fitted on a bounded sample of the labelled rows, taken by
+a hash of the id: about ``Settings.sample_rows`` of each language, among texts
+of ``Settings.sample_bytes`` or fewer. All languages are learned, and every
+whole text of any length is scored.
 
 Cases: a null text, an empty one or one without any letter is ``und`` with
 score 0; so is every text if no language could be learned. With one language
 learned all others are it. Rows without id are scored, never learned from and
-count as not held out; repeated rows are scored row by row; of labels beyond
-``Settings.languages`` the most frequent are learned (ties by name).
+count as not held out; repeated rows are scored row by row; of codewords that
+tie the first by name is chosen; very long texts are read in blocks; extra
+columns are ignored; an empty table gives an empty one, and one without
+labelled rows teaches nothing.
 """
 
 from __future__ import annotations
@@ -40,9 +43,9 @@ BLOCK = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 1600
-    languages: int = 400
-    steps: int = 25
+    sample_rows: int = 400
+    sample_bytes: int = 1 << 16
+    steps: int = 40
     rate: float = 0.7
     #: Texts whose best two codewords differ by less than this in loss per bit are ambiguous.
     margin: float = 0.1
@@ -150,11 +153,10 @@ class CodeModel:
 
 def train(labelled: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text", lang: str = "lang") -> CodeModel:
     """Learn from the rows of a table of texts and languages (rows without language teach nothing)."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(id).isNotNull() & (F.coalesce(F.octet_length(text), F.lit(0)) <= settings.sample_bytes)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
-    each = settings.sample_rows / max(len(languages), 1)
-    share = {r["lang"]: min(1.0, each / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, settings.sample_rows / r["count"]) for r in counts}
     if not languages:
         return CodeModel([], settings)
     cut = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
