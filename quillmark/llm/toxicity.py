@@ -6,17 +6,20 @@ may well be chance, several are not). The machine adds to a linear score a learn
 product of their factor vectors, which a single linear pass computes; so a
 pair such as an insult and a group's name can weigh more than both alone.
 
-It is fitted on a bounded sample (``Settings.positives`` and ``.negatives``)
-of the labelled rows, taken by a hash of the id; the sample's two shares are
-weighted back, so that scores stay probabilities. Only the
+It is fitted on a bounded sample (about ``Settings.positives`` and
+``.negatives`` rows, of texts of ``.sample_bytes`` or fewer) of the labelled
+rows, taken by a hash of the id; the sample's two shares are weighted back, so
+that scores stay probabilities. Only the
 ``Settings.terms`` bins that the sample sets apart best enter the machine.
 Every whole text is scored.
 
 Cases: null and empty texts have no terms and get the score of the bias;
 without labels of both kinds every score is the share of positives (0 without
-any); repeated label rows count once, as toxic if any says so; rows without id
-are scored, never learned from and count as not held out; extra columns are
-ignored.
+any); repeated label rows count once, as toxic if any says so; repeated
+documents are scored each; rows without id are scored, never learned from and
+count as not held out; terms that tie in how well they set the sample apart
+enter by bin; very long texts are scored whole, as the set of their terms; an
+empty table of documents gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ SHARED = 100
 class Settings:
     positives: int = 4000
     negatives: int = 8000
+    sample_bytes: int = 1 << 16
     terms: int = 6000
     factors: int = 8
     epochs: int = 12
@@ -184,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([terms_of(data, prefixes).tobytes() for data in blobs(part.column(0))], pa.binary())], names=["label", "bins"])
 
-    sample = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
+    sample = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= settings.sample_bytes).select(F.col(id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
     got = sample.select("text", "label").mapInArrow(features, "label int, bins binary").collect()
     return FactorizationMachine(settings).fit([(r["label"], np.frombuffer(r["bins"], np.int32)) for r in got], (1 / max(share[0], 1e-9), 1 / max(share[1], 1e-9)))
 
