@@ -6,7 +6,8 @@ words), how much of it dictionary words cover, whether it stands in a path or
 URL, and the neighbouring words. It is trained from labelled findings, a table
 (text, start, end, label) of byte offsets; where none is given, from findings
 that ``labelled_findings`` makes up from public key formats on one side and
-digests, paths, identifiers, numbers and placeholders on the other.
+digests, paths, identifiers, numbers and placeholders on the other, with words
+and names of its own beside those that the features look at.
 
 Cases: null and empty texts have no findings; rows without id are scanned and
 reported without id; repeated rows are reported each; very long texts are
@@ -48,8 +49,8 @@ NAMES = b"password passwd pwd secret token apikey api_key api-key access_key acc
 OTHERS = b"example sample test dummy placeholder changeme your sha sha1 sha256 md5 commit checksum digest hash uuid guid revision version etag integrity build id href src path file image isbn phone".split()
 #: Ordinary words for dictionary coverage (fixed values).
 DICTIONARY = b"""about access account action active address admin align allow also amount application archive array article async author backend background binary block board body build button call change check child class clear click client close cloud code color column command config content context control copy core count country create data date debug default delete design detail display document domain down element email empty end entry error event example export feature field file filter font from function get global group hash header height home html image import index internal java json key label language layout library line link list load login master match message method model name network node number option order output package page parent password path phone post present print product profile program project property public query read record remove report request require resource response save script search secret select send server service session setting share source start static status store string system table team template test text theme time title token update user value version video view watch website widget width window word work world write year""".split()
-_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(re.escape(n) for n in NAMES) + rb")[\"']?\s*(?::=|=>|[:=])\s*[\"']?([^\s\"'`;,<>]{8,200})")
-_IN_URL = re.compile(rb"://[^/\s:@]{1,80}:([^/\s:@]{4,100})@")
+_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(re.escape(n) for n in NAMES) + rb")[\"']?\s*(?::=|=>|[:=])\s*[\"']?([^\s\"'`;,<>]{8,})")
+_IN_URL = re.compile(rb"://[^/\s:@]+:([^/\s:@]{4,})@")
 #: Runs that may be keys: sixteen characters or more of the alphabets that keys are written in, a digit among them.
 _RUN = re.compile(rb"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _DIGIT = re.compile(rb"[0-9]")
@@ -114,7 +115,7 @@ FEATURES = ("length", "digits", "upper", "lower", "other", "transitions", "entro
 
 
 def features(data: bytes, start: int, end: int, rule: str) -> list[float]:
-    own = data[start:end][:400]
+    own = data[start:end]
     n = len(own)
     kinds = own.translate(_KIND)
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
@@ -162,66 +163,109 @@ def features(data: bytes, start: int, end: int, rule: str) -> list[float]:
 
 # -- labelled findings --------------------------------------------------------
 
+#: What made-up findings are written with, chosen apart from the lists that the features look at (fixed values).
+MADE_WORDS = """anchor basket border bridge buffer cargo carbon center chart cloud copper corner cursor customer data delta desk driver engine field filter folder forest frame garden grid harbor header hotel index invoice island items junction kernel label lantern ledger list market matrix meadow member meter mirror module monitor motor news node office orbit order panel paper parcel parser pattern pilot planet player pocket policy portal printer queue radar rail record region report river road robot route sample scanner screen season sensor sheet signal sketch socket spring stage station stock storm stream street summer switch table target ticket timber tower track trade tunnel user valley vector vendor village violet wagon water weather wheel window winter worker zone""".split()
+MADE_NAMES = "db_password DB_PASS smtp_password AWS_SECRET_ACCESS_KEY sessionToken auth_token signing_key encryption_key webhook_secret clientSecret api_token API_KEY apiKey passphrase private_key_id salt consumerKey account_key storage_secret login_pwd".split()
+MADE_LABELS = "fingerprint= snapshot blob trace_id: request-id= tree parent content-md5: job digest: image@sha256: object checkpoint nonce= ref cache-key: batch span_id= layer sum".split()
+MADE_EMPTY = "REPLACE_ME_PLEASE_1 insert-your-value-1 TODO_set_this_2 AAAAAAAAAAAAAAAAAAAA1 123456789012345678 foobarfoobar1234 test1234test1234 not-a-real-value-0 xxxxxxxxxxxxxxxx1 <put_value_here_1> ${SERVICE_VALUE_1} {{vault_value_1}} fill_me_in_later_1 none-of-your-business-1".split()
+HEXED, LOWER = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
+MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + LOWER
 
-def labelled_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
-    """n made-up findings (text, start, end, label), about half of them secrets."""
-    rng = random.Random(seed)
-    hexed, lower, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-
-    def chars(alphabet: str, k: int) -> str:
-        return "".join(rng.choice(alphabet) for _ in range(k))
-
-    def word() -> str:
-        return rng.choice(DICTIONARY).decode()
-
-    def prose(k: int) -> str:
-        return " ".join("".join(rng.choice(("an", "er", "th", "le", "ou", "ti", "en", "de", "mo", "sta", "ing", "ra")) for _ in range(rng.randint(1, 4))) for _ in range(k))
-
-    def names() -> str:
-        own = word()
-        return rng.choice((f"{own}_{word()}", f"{own}-{word()}", own + word().title(), f"{own}/{word()}", word().upper() + "_" + word().upper()))
-
-    def key() -> str:
-        return rng.choice((lambda: chars(hexed, rng.choice((32, 40, 64))), lambda: chars(mixed, rng.randint(20, 48)), lambda: chars(mixed + "+/", rng.choice((40, 43, 64))) + rng.choice(("", "=", "==")), lambda: chars(lower, rng.randint(24, 40)), lambda: chars(hexed.upper(), rng.choice((32, 40)))))()
-
-    def secret() -> tuple[str, str, str]:
-        kind = rng.random()
-        if kind < 0.6:
-            name = rng.choice(NAMES).decode()
-            name = rng.choice((name, name.upper(), name.title(), f"{word()}_{name}"))
-            sign, quote = rng.choice((" = ", "=", ": ", " := ", '": ')), rng.choice(('"', "'", "", '"'))
-            return f"{name}{sign}{quote}", key() if rng.random() < 0.85 else chars(mixed + "!@#%", rng.randint(10, 20)), quote
-        if kind < 0.9:
-            own = rng.choice((lambda: "AKIA" + chars(mixed[:26] + "234567", 16), lambda: "ghp_" + chars(mixed, 36), lambda: f"xoxb-{chars('0123456789', 12)}-{chars(mixed, 24)}", lambda: "sk_live_" + chars(mixed, 24), lambda: "AIza" + chars(mixed + "_-", 35), lambda: f"eyJ{chars(mixed, 17)}.eyJ{chars(mixed, 40)}.{chars(mixed + '_-', 43)}"))()
-            return rng.choice((" ", '"', "= ", f"{word()} ", "Authorization: Bearer ")), own, rng.choice((" ", '"', "\n", "."))
-        return f"{rng.choice(('postgres', 'https', 'amqp'))}://{word()}:", chars(mixed, rng.randint(8, 20)), f"@{word()}.example.com/"
-
-    def other() -> tuple[str, str, str]:
-        kind = rng.randrange(9)
+
+class _Maker:
+    """Made-up findings (what stands before, the finding, what stands after) by family."""
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def chars(self, alphabet: str, n: int) -> str:
+        return "".join(self.rng.choice(alphabet) for _ in range(n))
+
+    def word(self) -> str:
+        return self.rng.choice(MADE_WORDS)
+
+    def prose(self, n: int) -> str:
+        return " ".join("".join(self.rng.choice(("an", "er", "th", "le", "ou", "ti", "en", "de", "mo", "sta", "ing", "ra")) for _ in range(self.rng.randint(1, 4))) for _ in range(n))
+
+    def identifier(self) -> str:
+        own, other = self.word(), self.word()
+        return self.rng.choice((f"{own}_{other}", f"{own}-{other}", own + other.title(), f"{own}/{other}", f"{own}_{other}".upper()))
+
+    def key(self) -> str:
+        rng = self.rng
+        kind = rng.randrange(5)
         if kind == 0:
-            return rng.choice(("sha256:", "commit ", "md5 ", "checksum: ", "digest=", "etag \"", "sha1 = ", "revision ")), chars(hexed, rng.choice((32, 40, 64))), rng.choice((" ", "\n", '"'))
+            return self.chars(HEXED, rng.choice((32, 40, 64)))
         if kind == 1:
-            return rng.choice((" ", "id=", "uuid: ", '"')), "-".join(chars(hexed, k) for k in (8, 4, 4, 4, 12)), rng.choice((" ", '"', "\n"))
+            return self.chars(MIXED, rng.randint(20, 48))
         if kind == 2:
-            return rng.choice(("/", "https://", "./", "src=")), "/".join(names() for _ in range(rng.randint(2, 4))) + str(rng.randint(1, 999)), rng.choice((".html", ".js", "/", ".png", " "))
-        if kind == 3:
-            return rng.choice((" ", "card ", "phone ", "order ")), chars("0123456789", rng.randint(16, 20)), " "
-        if kind == 4:
-            return f"{rng.choice(NAMES).decode()}{rng.choice((' = ', ': ', '='))}\"", rng.choice((f"your-{word()}-here-123", "changeme12345678", "x" * rng.randint(16, 40) + "1", f"<{word()}_{word()}_1>", "${" + names().upper() + "_1}", f"example_{word()}_{rng.randint(1, 99)}", "0" * rng.randint(16, 32))), '"'
-        if kind == 5:
-            return rng.choice((" ", "class=\"", "#", "import ")), f"{names()}_{names()}{rng.randint(1, 99)}", rng.choice((" ", "(", '"'))
-        if kind == 6:
-            return rng.choice((" ", "(")), prose(1).replace(" ", "") + prose(2).replace(" ", "") + rng.choice(("2", "1999", "-3", "_v2")), rng.choice((" ", ".", ","))
-        if kind == 7:
-            return f"{rng.choice((b'token', b'secret', b'password', b'auth_key')).decode()}{rng.choice((': ', ' = '))}", rng.choice((names(), f"{names()}.{names()}", f"get_{word()}_{word()}()", f"self.{word()}.{word()}", prose(1) * 3)), rng.choice((" ", "\n", ")"))
-        return "data:image/png;base64,", chars(mixed + "+/", rng.randint(60, 180)), '"'
+            return self.chars(MIXED + "+/", rng.choice((40, 43, 64))) + rng.choice(("", "=", "=="))
+        return self.chars(LOWER, rng.randint(24, 40)) if kind == 3 else self.chars(HEXED.upper(), rng.choice((32, 40)))
+
+    # secrets
+
+    def assigned_key(self):
+        quote = self.rng.choice(('"', "'", "", '"'))
+        return self.rng.choice(MADE_NAMES) + self.rng.choice((" = ", "=", ": ", " := ", '": ')) + quote, self.key(), quote
+
+    def assigned_password(self):
+        quote = self.rng.choice(('"', "'", ""))
+        return self.rng.choice(MADE_NAMES) + self.rng.choice((" = ", "=", ": ")) + quote, self.chars(MIXED + "!@#%", self.rng.randint(10, 20)), quote
+
+    def provider_key(self):
+        made = self.rng.choice(("AKIA" + self.chars(MIXED[:26] + "234567", 16), "ghp_" + self.chars(MIXED, 36), f"xoxb-{self.chars('0123456789', 12)}-{self.chars(MIXED, 24)}", "sk_live_" + self.chars(MIXED, 24), "AIza" + self.chars(MIXED + "_-", 35), f"eyJ{self.chars(MIXED, 17)}.eyJ{self.chars(MIXED, 40)}.{self.chars(MIXED + '_-', 43)}"))
+        return self.rng.choice((" ", '"', "= ", f"{self.word()} ", "Authorization: Bearer ")), made, self.rng.choice((" ", '"', "\n", "."))
+
+    def url_password(self):
+        return f"{self.rng.choice(('postgres', 'https', 'amqp', 'redis'))}://{self.word()}:", self.chars(MIXED, self.rng.randint(8, 20)), f"@{self.word()}.example.com/"
+
+    # others
 
+    def digest(self):
+        return self.rng.choice(MADE_LABELS) + self.rng.choice(("", " ")), self.chars(HEXED, self.rng.choice((32, 40, 64))), self.rng.choice((" ", "\n", '"'))
+
+    def uuid(self):
+        return self.rng.choice((" ", "id=", '"')), "-".join(self.chars(HEXED, k) for k in (8, 4, 4, 4, 12)), self.rng.choice((" ", '"', "\n"))
+
+    def path(self):
+        return self.rng.choice(("/", "https://", "./", "src=")), "/".join(self.identifier() for _ in range(self.rng.randint(2, 4))) + str(self.rng.randint(1, 999)), self.rng.choice((".html", ".js", "/", ".png", " "))
+
+    def number(self):
+        return self.rng.choice((" ", "card ", "call ", "no. ")), self.chars("0123456789", self.rng.randint(16, 20)), " "
+
+    def placeholder(self):
+        return self.rng.choice(MADE_NAMES) + self.rng.choice((' = "', ': "', '="')), self.rng.choice(MADE_EMPTY), '"'
+
+    def name(self):
+        return self.rng.choice((" ", 'class="', "#", "import ")), f"{self.identifier()}_{self.identifier()}{self.rng.randint(1, 99)}", self.rng.choice((" ", "(", '"'))
+
+    def joined_prose(self):
+        return self.rng.choice((" ", "(")), self.prose(3).replace(" ", "") + self.rng.choice(("2", "1999", "-3", "_v2")), self.rng.choice((" ", ".", ","))
+
+    def expression(self):
+        return self.rng.choice(MADE_NAMES) + self.rng.choice((": ", " = ")), self.rng.choice((self.identifier(), f"{self.identifier()}.{self.identifier()}", f"get_{self.word()}_{self.word()}()", f"self.{self.word()}.{self.word()}", self.prose(1) * 3)), self.rng.choice((" ", "\n", ")"))
+
+    def picture(self):
+        return "data:image/png;base64,", self.chars(MIXED + "+/", self.rng.randint(60, 180)), '"'
+
+
+#: Families of findings; those of secrets by how often they are made.
+SECRETS = ("assigned_key", "assigned_key", "assigned_key", "assigned_key", "assigned_password", "provider_key", "provider_key", "url_password")
+OTHER_FAMILIES = ("digest", "uuid", "path", "number", "placeholder", "name", "joined_prose", "expression", "picture")
+
+
+def labelled_findings(n: int, seed: int, without: str = "", only: str = "") -> list[tuple[bytes, int, int, int]]:
+    """n made-up findings (text, start, end, label), half of them secrets; without a family, or only of one."""
+    rng = random.Random(seed)
+    maker = _Maker(rng)
+    kinds = [tuple(f for f in families if f != without and only in ("", f)) for families in (OTHER_FAMILIES, SECRETS)]
     out = []
     for _ in range(n):
         label = int(rng.random() < 0.5)
-        head, own, tail = secret() if label else other()
-        left = prose(rng.randint(0, 12)) + rng.choice((" ", "\n", ". "))
-        text = f"{left}{head}{own}{tail}{rng.choice(('', ' ', chr(10)))}{prose(rng.randint(0, 12))}"
+        label = label if kinds[label] else 1 - label
+        head, own, tail = getattr(maker, rng.choice(kinds[label]))()
+        left = maker.prose(rng.randint(0, 12)) + rng.choice((" ", "\n", ". "))
+        text = f"{left}{head}{own}{tail}{rng.choice(('', ' ', chr(10)))}{maker.prose(rng.randint(0, 12))}"
         start = len((left + head).encode())
         out.append((text.encode(), start, start + len(own.encode()), label))
     return out
