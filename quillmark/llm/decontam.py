@@ -3,8 +3,8 @@
 An item's score for a passage is BM25 (the passage's distinct words are the
 query, the item is the document) over the score that the item gets for itself,
 so 1 is the whole item and one threshold holds for all. Passages are windows
-of twice the longest item's words, one item's length apart, so each copy of an
-item lies whole in some window.
+of twice the words that the items of a class of lengths may have, half a window
+apart, so each copy of an item lies whole in some window.
 
 A search goes document at a time over posting lists in blocks that know their
 largest weight: the pivot is the first list at which the sum of the lists'
@@ -21,12 +21,17 @@ or all of the item's n-grams together ``whole``. An item without an answer
 column is divided before its last sentence.
 
 The items go to the executors in blocks of ``block_items``, and every block is
-searched by all passages, so what is broadcast has a bound.
+searched by all passages, so what is broadcast has a bound. A block has an
+index for each class of item lengths (powers of four), whose windows its
+passages are cut into; document frequencies and the mean length are those of
+all items. So what is found doesn't depend on the blocks.
 
 Cases: null and empty texts and items have no words and match nothing; rows
 without id are searched and reported without id; repeated rows are reported
-each; an empty table on either side gives an empty result; very long texts are
-cut into windows, all of which are searched; extra columns are ignored.
+each; of windows that tie the first is an item's best; an empty table on either
+side gives an empty result; very long texts are cut into windows, all of which
+are searched; extra columns are ignored, and pass through ``drop_contaminated``
+untouched.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -43,7 +48,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, lower
+from .common import BATCH_ROWS, blobs, discard, keep_rows, lower, materialise
 
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -80,22 +85,35 @@ def grams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: their number and mean length, and how many have each word that is asked for."""
+
+    items: int
+    mean: float
+    df: dict[bytes, int]
+
+    def idf(self, word: bytes) -> float:
+        return math.log(1 + (self.items - self.df[word] + 0.5) / (self.df[word] + 0.5))
+
+
+def length_class(words: int) -> int:
+    """The power of four that is no less."""
+    own = 4
+    while own < words:
+        own *= 4
+    return own
+
+
 class Index:
-    """Posting lists of a block of items, and their searches."""
+    """Posting lists of the items of one class of lengths, and their searches. terms: numbers of the block's words."""
 
-    def __init__(self, items: list[tuple[int, bytes, bytes]], settings: Settings):
-        self.settings = settings
-        texts = [(key, words_of(question), words_of(answer)) for key, question, answer in items]
-        self.items = [x for x in texts if x[1] or x[2]]
+    def __init__(self, items: list[tuple[object, list[bytes], list[bytes]]], longest: int, terms: dict[bytes, int], statistics: Statistics, settings: Settings):
+        self.settings, self.items, self.longest, self.terms = settings, items, longest, terms
         bags = [Counter(q + a) for _, q, a in self.items]
         length = [sum(b.values()) for b in bags]
-        self.longest = max(length, default=0)
-        mean = sum(length) / max(len(length), 1)
-        df = Counter(w for b in bags for w in b)
-        n = len(bags)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        self.words = list(self.terms)
+        mean = statistics.mean
+        idf = {w: statistics.idf(w) for b in bags for w in b}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         k1, b = settings.k1, settings.b
         for i, bag in enumerate(bags):
@@ -105,18 +123,19 @@ class Index:
                 lists[self.terms[w]].append((i, x / total))
         self.docs = [[d for d, _ in x] for x in lists]
         self.weights = [[w for _, w in x] for x in lists]
-        self.most = np.array([max(w) for w in self.weights] or [0.0])
+        self.most = np.array([max(w, default=0.0) for w in self.weights] or [0.0])
+        self.here = np.array([bool(x) for x in self.docs] or [False])
         size = settings.block_postings
         self.block_end = [[d[min(i + size, len(d)) - 1] for i in range(0, len(d), size)] for d in self.docs]
         self.block_most = [[max(w[i : i + size]) for i in range(0, len(w), size)] for w in self.weights]
 
     # -- one passage --------------------------------------------------------
 
-    def search(self, query: set[int]) -> list[tuple[int, float]]:
+    def search(self, query: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items at or above the threshold, by block-max WAND."""
         least = self.settings.threshold - 1e-9
         size = self.settings.block_postings
-        cursors = [[self.docs[t][0], 0, t] for t in sorted(query)]  # item, place, term
+        cursors = [[self.docs[t][0], 0, t] for t in query]  # item, place, term
         out = []
 
         def forward(cursor: list[int], target: int) -> None:
@@ -188,7 +207,7 @@ class Index:
         return max(1, -(-n // self.longest) - 1) if n else 0
 
     def candidates(self, ids: np.ndarray, rare: tuple) -> np.ndarray:
-        """The windows of a text (terms of its words, -1 for others) that an item could reach the threshold in."""
+        """The windows of a text (numbers of its words, -1 for others) that an item could reach the threshold in. rare: see ``rare_postings``."""
         starts, items, weights, least = rare
         place = np.flatnonzero(ids >= 0)
         own = ids[place]
@@ -221,71 +240,113 @@ class Index:
         q, a = share(question), share(answer)
         return q, a, q >= s.overlap and a >= s.overlap or share(question + answer) >= s.whole
 
-    def matcher(self):
-        """A function from a text's bytes to its (item key, score, question share, answer share, first word), the best window of each item."""
-        state: dict[str, object] = {"seen": np.zeros(len(self.docs)), "rare": None, "words": 0}
-        lookup = self.terms.get
-
-        def one(data: bytes) -> list[tuple[int, float, float, float, int]]:
-            if not self.longest:
-                return []
+    def best_windows(self, words: list[bytes], ids: np.ndarray, rare: tuple) -> list[tuple[object, float, float, float, int]]:
+        """(item key, score, question share, answer share, first word) of the items that a text holds, by the best window of each."""
+        best: dict[int, tuple] = {}
+        for w in self.candidates(ids, rare):
+            start = int(w) * self.longest
+            # the last window goes to the end
+            end = start + 2 * self.longest if w + 1 < self.windows(len(words)) else len(words)
+            own = np.unique(ids[start:end])
+            own = own[own >= 0]
+            for item, score in self.search(own[self.here[own]].tolist()):
+                q, a, copy = self.verify(item, words[start:end])
+                if copy and (item not in best or (q + a, score) > (best[item][1] + best[item][2], best[item][0])):
+                    best[item] = (score, q, a, start)
+        return [(self.items[i][0], *best[i]) for i in sorted(best)]
+
+
+class Block:
+    """The indexes of a block of items (key, question words, answer words), one for each class of lengths."""
+
+    def __init__(self, items: list[tuple[object, list[bytes], list[bytes]]], statistics: Statistics, settings: Settings):
+        self.terms = {w: i for i, w in enumerate(sorted({w for _, q, a in items for w in q + a}))}
+        by_class: dict[int, list] = {}
+        for item in items:
+            if item[1] or item[2]:
+                by_class.setdefault(length_class(len(item[1]) + len(item[2])), []).append(item)
+        self.indexes = [Index(own, longest, self.terms, statistics, settings) for longest, own in sorted(by_class.items())]
+
+    def matcher(self) -> Callable[[bytes], list[tuple[object, float, float, float, int]]]:
+        """A function from a text's bytes to its rows of ``Index.best_windows``."""
+        seen, lookup = np.zeros(len(self.terms)), self.terms.get
+        state: dict[str, object] = {"rare": None, "words": 0, "learned": 0}
+
+        def one(data: bytes) -> list[tuple[object, float, float, float, int]]:
             words = words_of(data)
             ids = np.fromiter(map(lookup, words, repeat(-1)), np.int64, len(words))
-            if state["rare"] is None or state["words"] < 100_000:
-                # which words are common here only moves work, not results: it is learned from the first texts
-                state["seen"] += np.bincount(ids[ids >= 0], minlength=len(self.docs))
+            if state["words"] < 100_000:
+                # which words are common here only moves work, not results: it is learned from the first texts, whenever they have doubled
+                seen[:] += np.bincount(ids[ids >= 0], minlength=len(seen))
                 state["words"] += len(words)
-                state["rare"] = self.rare_postings(state["seen"])
-            best: dict[int, tuple] = {}
-            for w in self.candidates(ids, state["rare"]):
-                start = int(w) * self.longest
-                # the last window goes to the end
-                end = start + 2 * self.longest if w + 1 < self.windows(len(words)) else len(words)
-                query = set(ids[start:end].tolist()) - {-1}
-                for item, score in self.search(query):
-                    q, a, copy = self.verify(item, words[start:end])
-                    if copy and (item not in best or (q + a, score) > (best[item][1] + best[item][2], best[item][0])):
-                        best[item] = (score, q, a, start)
-            return [(self.items[i][0], *best[i]) for i in sorted(best)]
+                if state["rare"] is None or state["words"] >= 2 * state["learned"]:
+                    state["rare"], state["learned"] = [index.rare_postings(seen) for index in self.indexes], state["words"]
+            return [row for index, rare in zip(self.indexes, state["rare"], strict=True) for row in index.best_windows(words, ids, rare)]
 
         return one
 
 
-def indexes(benchmark: DataFrame, settings: Settings, id: str, text: str, question: str | None, answer: str | None) -> Iterator[Index]:
-    """The items' indexes, block by block; items of like length share a block, so windows fit."""
+def blocks(benchmark: DataFrame, settings: Settings, id: str, text: str, question: str | None, answer: str | None) -> Iterator[Block]:
+    """The items' indexes, block by block. Only a block's items, and the frequencies of its words, are on the driver at a time."""
+    import pyarrow as pa
+
+    spark = benchmark.sparkSession
     whole = F.col(question) if question else F.col(text)
-    rows = benchmark.select(F.col(id).cast("long").alias("id"), whole.cast("string").alias("q"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a")).orderBy(F.length("q"), "id")
-    block: list[tuple[int, bytes, bytes]] = []
-    for row in rows.toLocalIterator():
+    rows = benchmark.select(F.col(id).alias("id"), whole.cast("string").alias("q"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a"))
+
+    def distinct_words(batches):
+        for batch in batches:
+            for q, a in zip(blobs(batch.column(0)), blobs(batch.column(1)), strict=True):
+                words = words_of(q + b" " + a)
+                own = list(dict.fromkeys(words))
+                # the first row of an item carries its length
+                length = [len(words), *[0] * (len(own) - 1)] if own else []
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(length, pa.int64())], names=["word", "length"])
+
+    counts = materialise(rows.select("q", "a").mapInArrow(distinct_words, "word binary, length long").groupBy("word").agg(F.count("*").alias("df"), F.sum("length").alias("length"), F.sum((F.col("length") > 0).cast("long")).alias("items")), "item-words")
+    total = counts.agg(F.sum("length"), F.sum("items")).first()
+    n = total[1] or 0
+
+    def made(items: list) -> Block:
+        words = sorted({w for _, q, a in items for w in q + a})
+        own = spark.createDataFrame([(w,) for w in words], "word binary")
+        df = {bytes(r["word"]): r["df"] for r in counts.join(own, "word", "left_semi").select("word", "df").collect()}
+        return Block(items, Statistics(n, total[0] / n if n else 0.0, df), settings)
+
+    held: list[tuple[object, list[bytes], list[bytes]]] = []
+    for row in rows.orderBy("id").toLocalIterator():
         q, a = (row["q"] or "", row["a"] or "") if answer else divide(row["q"] or "")
-        block.append((row["id"], q.encode(), a.encode()))
-        if len(block) >= settings.block_items:
-            yield Index(block, settings)
-            block = []
-    if block:
-        yield Index(block, settings)
+        held.append((row["id"], words_of(q.encode()), words_of(a.encode())))
+        if len(held) >= settings.block_items:
+            yield made(held)
+            held = []
+    if held:
+        yield made(held)
+    discard(counts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap, at_word): a row for each document and test item that it holds."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = docs.schema[id].dataType.simpleString()
-    schema = f"{id} {kind}, {item_id} long, score double, question_overlap double, answer_overlap double, at_word long"
+    kind, item_kind = docs.schema[id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    schema = f"{id} {kind}, {item_id} {item_kind}, score double, question_overlap double, answer_overlap double, at_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark, settings, item_id, item_text, question, answer):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
+    for block in blocks(benchmark, settings, item_id, item_text, question, answer):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):
             one = shared.value.matcher()
-            for batch in batches:
+            for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
                 rows, at = [], []
                 for i, data in enumerate(blobs(batch.column(1))):
                     own = one(data)
                     rows += own
                     at += [i] * len(own)
                 columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                kinds = (item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id, item_id, "score", "question_overlap", "answer_overlap", "at_word"])
 
         found = docs.select(id, text).mapInArrow(search, schema)
@@ -295,16 +356,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no test item, all columns as they are."""
-    import pyarrow as pa
-
-    at = docs.columns.index(text)
-    for index in indexes(benchmark, settings, item_id, item_text, None, None):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for block in blocks(benchmark, settings, item_id, item_text, None, None):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def search(batches, shared=shared):
+        def verdict(shared=shared):
             one = shared.value.matcher()
-            for batch in batches:
-                yield batch.filter(pa.array([not one(data) for data in blobs(batch.column(at))], pa.bool_()))
+            return lambda data: not one(data)
 
-        docs = docs.mapInArrow(search, docs.schema)
+        docs = keep_rows(docs, verdict, text)
     return docs
