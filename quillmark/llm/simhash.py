@@ -134,8 +134,9 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def cut_shards(dealt: DataFrame, keys: list[str], by: str, most: int = SHARD_ROWS) -> DataFrame:
-    """dealt with a column part: a shard (rows of equal keys) of more than ``most`` rows is cut by ``by`` into parts, and each pair of parts is a shard of its own."""
+def cut_shards(dealt: DataFrame, keys: list[str], by: str, most: int | None = None) -> DataFrame:
+    """dealt with a column part: a shard (rows of equal keys) of more than ``most`` rows (SHARD_ROWS) is cut by ``by`` into parts, and each pair of parts is a shard of its own."""
+    most = most or SHARD_ROWS
     sizes = materialise(dealt.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / (most // 2)).cast("int").alias("parts")), "shards")
     if sizes.isEmpty():
         return dealt.withColumn("part", F.lit(0).cast("long"))

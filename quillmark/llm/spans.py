@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, SPACES, blobs, lower, materialise
+from .common import BATCH_ROWS, blobs, lower, materialise
 
 LEAST_SENTENCES, LEAST_WORDS = 3, 32
 #: Words of a sentence from which it is cut, and words of a piece at most.
@@ -170,14 +170,14 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(what is left, sentences, sentences removed) after the spans' sentences are gone."""
     own = sentences(data)
     gone = {i for at, n in spans for i in range(at, at + n)}
+    word_from = lambda place: _WORD.search(data, place).start()
     out, at = [], 0
     for i, (start, _) in enumerate(own):
         if i in gone:
-            if i - 1 not in gone:
-                out.append(data[at:start])
-            # the white space after what goes, goes with it
-            following = own[i + 1][0] if i + 1 < len(own) else len(data)
-            at = following + len(data[following:]) - len(data[following:].lstrip(SPACES)) if i + 1 < len(own) and i + 1 not in gone else following
+            # the white space before what goes stays, that within and after it goes
+            if i and i - 1 not in gone:
+                out.append(data[at : word_from(start)])
+            at = word_from(own[i + 1][0]) if i + 1 < len(own) else len(data)
     return b"".join([*out, data[at:]]), len(own), len(gone)
 
 

@@ -32,4 +32,13 @@ def test_one_chunk_is_judged():
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(2000)]
     judge = quality.CompressionJudge(quality.Bands())
     data = b"again and again " * 128 + " ".join(words).encode()[:1500]
-    assert judge.measure(data)[1:] == (1, 1)
+    assert judge.measure(data)[1] == 2 and judge.measure(data)[3] == 1 and not judge.accepts(len(data), *judge.measure(data))
+
+
+def test_the_rest_beyond_whole_chunks_is_judged():
+    rng = random.Random(1)
+    words = b" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 6))).encode() + rng.choice((b"", b"", b" the", b" and")) for _ in range(1600))[:5858]
+    judge = quality.CompressionJudge(quality.Bands())
+    verdict = lambda data: judge.accepts(len(data), *judge.measure(data))
+    assert not verdict(words + b"buy now " * 250)
+    assert judge.measure(words)[3] == 0 and judge.measure(words + b"buy now " * 250)[3] == 1
