@@ -25,8 +25,9 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC; declared non-deterministic so that a filter on the result isn't pushed below it and evaluates it again."""
-    return F.pandas_udf(_nfkc, "string").asNondeterministic()(text)
+    """NFKC. ASCII stays on the JVM, since it is its own NFKC; the function is declared non-deterministic so that a filter on the result isn't pushed below it and evaluates it again."""
+    other = F.when(text.rlike("[^\\x00-\\x7F]"), text)
+    return F.coalesce(F.pandas_udf(_nfkc, "string").asNondeterministic()(other), text)
 
 
 def normalize(value: Column, compatibility: bool = True) -> Column:

@@ -11,19 +11,34 @@ from ..functions.scalar import basename, directory, format_bytes
 from .audit import attribute_members, exact_members
 
 
-def file_issues(files: DataFrame, compatibility: bool = True) -> DataFrame:
-    """(supplier, path, issue, level, title): an issue per group that a file belongs to, with its peers."""
+#: Peers that an issue names; ``issue_members`` has all of them, once a group.
+PEERS = 10
+
+
+def issue_members(files: DataFrame, compatibility: bool = True) -> DataFrame:
+    """(group_id, supplier, path, issue, level, value, of): every file of every exact and attribute group, whatever the attribute."""
     exact = exact_members(files).select("group_id", "supplier", "path", F.lit("相同文件").alias("issue"), F.lit("high").alias("level"), F.col("sha256").alias("value"), F.lit("exact").alias("of"))
     level = F.when(F.col("risk") == "高风险", "high").when(F.col("risk") == "中风险", "medium").otherwise("low")
     attribute = attribute_members(files, compatibility).select("group_id", "supplier", "path", F.concat("label", F.lit("重复")).alias("issue"), level.alias("level"), "value", F.lit("attribute").alias("of"))
-    members = exact.unionByName(attribute)
-    own = members.select("group_id", "supplier", "path", "issue", "level", "value", "of").distinct()
-    peer = members.select("group_id", F.col("supplier").alias("peer_supplier"), F.col("path").alias("peer_path"))
-    pairs = own.join(peer, "group_id").where("supplier <> peer_supplier OR path <> peer_path")
-    listed = pairs.groupBy("group_id", "supplier", "path", "issue", "level", "value", "of").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" / ", "peer_supplier", "peer_path"))), "；").alias("peers"))
+    return exact.unionByName(attribute).distinct()
+
+
+def file_issues(files: DataFrame, compatibility: bool = True) -> DataFrame:
+    """(supplier, path, group_id, issue, level, n_peers, peers, title): an issue per group that a file belongs to, with its first ``PEERS`` peers by name.
+
+    A group of n files gives n rows of bounded size instead of n lists of
+    n - 1 peers; all peers are the group's rows of ``issue_members``.
+    """
+    members = issue_members(files, compatibility).withColumn("own", F.concat_ws(" / ", "supplier", "path"))
+    first = members.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("own"))).where(F.col("place") <= PEERS + 1)
+    sizes = members.groupBy("group_id").agg((F.count("*") - 1).alias("n_peers"))
+    groups = first.groupBy("group_id").agg(F.array_sort(F.collect_list("own")).alias("named")).join(sizes, "group_id")
+    peers = F.array_join(F.slice(F.array_remove("named", F.col("own")), 1, PEERS), "；")
+    listed = members.join(groups, "group_id").withColumn("peers", peers)
     label = F.regexp_replace("issue", "重复$", "")
-    title = F.when(F.col("of") == "exact", F.concat(F.lit("与 "), "peers", F.lit(" 的文件内容完全相同（SHA-256："), "value", F.lit("）"))).otherwise(F.concat(F.lit("与 "), "peers", F.lit(" 的"), label, F.lit("相同："), "value"))
-    return listed.withColumn("title", title).select("supplier", "path", "issue", "level", "peers", "title")
+    whom = F.concat("peers", F.when(F.col("n_peers") > PEERS, F.concat(F.lit(" 等 "), F.col("n_peers").cast("string"), F.lit(" 个文件"))).otherwise(""))
+    title = F.when(F.col("of") == "exact", F.concat(F.lit("与 "), whom, F.lit(" 的文件内容完全相同（SHA-256："), "value", F.lit("）"))).otherwise(F.concat(F.lit("与 "), whom, F.lit(" 的"), label, F.lit("相同："), "value"))
+    return listed.withColumn("title", title).select("supplier", "path", "group_id", "issue", "level", "n_peers", "peers", "title")
 
 
 def filter_files(files: DataFrame, only_exact: bool = False, only_attribute: bool = False, compatibility: bool = True) -> DataFrame:

@@ -183,10 +183,10 @@ def findings_all(spark, folder):
     return _plain(correlate.correlate(files))
 
 
-@query(f"""WITH {DA}, {_F_EXACT}, {_F_META}, f AS (SELECT * FROM fx UNION ALL SELECT * FROM fm), g AS (SELECT {_LEVEL} AS level, count(*) AS n FROM f GROUP BY 1)
+@query(f"""WITH {DA}, {_F_EXACT}, {_F_META}, {_HASH}, {_F_SIM}, f AS (SELECT weight FROM fx UNION ALL SELECT weight FROM fm UNION ALL SELECT weight FROM fs), g AS (SELECT {_LEVEL} AS level, count(*) AS n FROM f GROUP BY 1)
 SELECT l.level AS level, coalesce(n, 0) AS n FROM (VALUES ('极高风险'), ('高风险'), ('中风险'), ('低风险')) l(level) LEFT JOIN g USING (level)""")
 def findings_by_level(spark, folder):
-    return correlate.by_level(correlate.correlate(adapters.attributed(spark, folder), simhash_on=False))
+    return correlate.by_level(correlate.correlate(adapters.attributed(spark, folder).withColumn("fingerprint", scalar.simhash("text"))))
 
 
 # -- scalar functions -------------------------------------------------------------------
@@ -295,11 +295,13 @@ def property_groups(spark, folder):
     return review.property_groups(adapters.attributed(spark, folder)).select("path", "group_id", "name", "value")
 
 
-@query(f"WITH {_PROPERTIES} SELECT supplier, path AS file, group_title AS \"group\", name, CASE WHEN xmp IS NULL THEN value ELSE '{{\"info\":\"' || replace(value, '\"', '\\\"') || '\",\"xmp\":\"' || xmp || '\"}}' END AS value FROM pr")
+@query(f"WITH {_PROPERTIES} SELECT supplier, path AS file, group_title AS \"group\", name, CASE WHEN xmp IS NULL THEN value ELSE json_object('info', CASE WHEN name = '制作工具' AND value <> '未提取到' THEN 'C:\\t\"' || chr(10) || value ELSE value END, 'xmp', xmp)::VARCHAR END AS value FROM pr")
 def all_properties_sheet(spark, folder):
     from .reports import properties_sheet
 
-    return properties_sheet(adapters.attributed(spark, folder))
+    # PDF producers with what JSON must escape
+    odd = F.transform_values("attributes", lambda k, v: F.when(k == "producer", F.concat(F.lit('C:\\t"\n'), v)).otherwise(v))
+    return properties_sheet(adapters.attributed(spark, folder).withColumn("attributes", odd))
 
 
 _URL_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
@@ -317,12 +319,17 @@ _ISSUES = f"""{DA}, {_EXACT}, {_DA_LONG}, {_GROUPS}, mem AS (
 )"""
 
 
-@query(f"WITH {_ISSUES} SELECT a.supplier AS supplier, a.path AS path, a.issue AS issue, a.level AS level, string_agg(b.supplier || ' / ' || b.path, '；' ORDER BY b.supplier || ' / ' || b.path) AS peers FROM mem a JOIN mem b ON a.group_id = b.group_id AND a.path <> b.path WHERE a.issue <> '程序名称重复' AND a.issue <> '制作工具重复' AND a.issue <> '创建软件重复' AND a.issue <> '修订号重复' GROUP BY a.group_id, a.supplier, a.path, a.issue, a.level")
+@query(f"""WITH {_ISSUES}, m AS (SELECT DISTINCT *, supplier || ' / ' || path AS own FROM mem),
+r AS (SELECT group_id, own, row_number() OVER (PARTITION BY group_id ORDER BY own) AS place, count(*) OVER (PARTITION BY group_id) AS n FROM m),
+l AS (SELECT group_id, any_value(n) - 1 AS n_peers, list(own ORDER BY own) AS named FROM r WHERE place <= 11 GROUP BY group_id)
+SELECT supplier, path, group_id, issue, level, n_peers, array_to_string(list_filter(named, lambda x: x <> own)[1:10], '；') AS peers FROM m JOIN l USING (group_id)""")
 def file_issues(spark, folder):
-    # programs and revisions are shared by a third of all files here; authors and contents are what the peers' list is for
-    files = adapters.attributed(spark, folder)
-    files = files.withColumn("attributes", F.map_filter("attributes", lambda k, v: k == "author"))
-    return review.file_issues(files).drop("title")
+    return review.file_issues(adapters.attributed(spark, folder)).drop("title")
+
+
+@query(f"WITH {_ISSUES} SELECT DISTINCT group_id, supplier, path, issue, level FROM mem")
+def issue_members(spark, folder):
+    return review.issue_members(adapters.attributed(spark, folder)).drop("value", "of")
 
 
 @query(f"WITH {DA}, {_EXACT} SELECT supplier, path FROM d WHERE sha256 IN (SELECT sha256 FROM e)")
@@ -348,9 +355,19 @@ def file_search(spark, folder):
     return review.search(adapters.documents(spark, folder), "OC_1").select("supplier", "path")
 
 
-@query(f"WITH p AS (SELECT {_URL_PATH} AS p, octet_length(encode(html))::BIGINT AS size FROM pages) SELECT split_part(ltrim(p, '/'), '/', 1) AS supplier, count(*) AS file_count, sum(size)::BIGINT AS total_size FROM p WHERE contains(ltrim(p, '/'), '/') GROUP BY 1")
+_HALVES = "SELECT ltrim(p, '/') AS p, size, page_id % 2 AS half, 'half ' || page_id % 2 AS supplier FROM p"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_URL_PATH} AS p, octet_length(encode(html))::BIGINT AS size FROM pages), f AS (SELECT CASE WHEN half = 0 AND NOT contains(p, '/') THEN 'root/' || p ELSE p END AS p, size, half, supplier FROM ({_HALVES}) UNION ALL SELECT 'readme.txt', 1, 1, 'half 1'),
+s AS (SELECT half, bool_and(contains(p, '/')) AS split FROM f GROUP BY half)
+SELECT CASE WHEN split THEN split_part(p, '/', 1) ELSE supplier END AS supplier, count(*) AS file_count, sum(size)::BIGINT AS total_size FROM f JOIN s USING (half) GROUP BY 1""")
 def split_by_top_dir(spark, folder):
-    files = adapters.pages(spark, folder).withColumns({"submission_id": F.lit("archive"), "path": F.ltrim(F.parse_url("url", F.lit("PATH")), F.lit("/"))}).where(F.contains("path", F.lit("/")))
+    # two submissions: of one all files stand in folders, the other has a file beside its folders and stays whole
+    half = F.col("page_id") % 2
+    path = F.ltrim(F.parse_url("url", F.lit("PATH")), F.lit("/"))
+    path = F.when((half == 0) & ~F.contains(path, F.lit("/")), F.concat(F.lit("root/"), path)).otherwise(path)
+    files = adapters.pages(spark, folder).select(half.cast("string").alias("submission_id"), F.concat(F.lit("half "), half.cast("string")).alias("supplier"), path.alias("path"), "size")
+    files = files.unionByName(spark.createDataFrame([("1", "half 1", "readme.txt", 1)], files.schema))
     return review.split_by_top_directory(files).groupBy("supplier").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"))
 
 

@@ -7,7 +7,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, correlate, review
 
+#: A reviewer's decisions: the last of a finding counts.
+REVIEWS = "finding_id string, review string, at string"
 DISCLAIMER = "自动检测结果仅为人工复核线索，不构成结论。"
 #: Rows of a sheet that XLSX allows; more go on in further sheets.
 SHEET_ROWS = 1_048_575
+#: Characters of a cell that XLSX allows; of a longer value the cell holds the beginning, with an ellipsis as a mark (JSON and HTML hold all of it).
+CELL_CHARS = 32_767
 
 
 def properties_sheet(files: DataFrame) -> DataFrame:
     """(supplier, file, group, name, value): every property row; a PDF's Info and XMP values as JSON."""
     rows = review.property_groups(files)
-    quoted = F.replace("value", F.lit('"'), F.lit('\\"'))
-    both = F.concat(F.lit('{"info":"'), quoted, F.lit('","xmp":"'), "xmp_value", F.lit('"}'))
+    both = F.to_json(F.struct(F.col("value").alias("info"), F.col("xmp_value").alias("xmp")))
     return rows.select("supplier", F.col("path").alias("file"), F.col("group_title").alias("group"), "name", F.when(F.col("xmp_value").isNull(), F.col("value")).otherwise(both).alias("value"))
 
 
@@ -37,14 +40,31 @@ class Project:
     operations: DataFrame | None = None
     reviews: DataFrame | None = None
     created_at: str = ""
+    #: What ``findings`` leaves on or off, kept with the project.
+    options: dict[str, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.created_at = self.created_at or datetime.now(timezone.utc).isoformat()
 
     def findings(self, **options: bool) -> DataFrame:
-        found = correlate.correlate(self.files, **options)
+        found = correlate.correlate(self.files, **(self.options | options))
         return correlate.with_reviews(found, self.reviews) if self.reviews is not None else found
 
+    def after_save(self, path: str, operation: dict | None = None) -> Project:
+        """The project after a loose file was edited in place: the file is parsed again, everything derived follows, and the operation joins the log."""
+        from ..operators.edit import OPERATIONS
+        from ..sources.archives import read_submissions
+
+        spark, place = self.files.sparkSession, ["submission_id", "supplier", "zip_name", "zip_path", "zip_sha256", "ord"]
+        old = self.files.where(F.col("source_path") == path).select("source_path", *place)
+        again = read_submissions(spark, [path], mode="files").drop(*place).join(old, "source_path").select(*self.files.columns)
+        files = self.files.where(~F.col("source_path").eqNullSafe(path)).unionByName(again)
+        log = self.operations
+        if operation:
+            row = spark.createDataFrame([operation], OPERATIONS)
+            log = row if log is None else log.unionByName(row)
+        return replace(self, files=files, operations=log)
+
     def _attribute(self, name: str):
         return F.coalesce(F.col("attributes")[name], F.lit("")).alias(name)
 
@@ -90,7 +110,9 @@ def _cell(value) -> str:
     if value is None:
         return "<c/>"
     if isinstance(value, bool) or not isinstance(value, int | float):
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{html.escape(_BAD.sub("", str(value))[:32767], quote=False)}</t></is></c>'
+        text = _BAD.sub("", str(value))
+        text = text if len(text) <= CELL_CHARS else text[: CELL_CHARS - 1] + "…"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{html.escape(text, quote=False)}</t></is></c>'
     return f"<c><v>{value}</v></c>"
 
 
@@ -179,10 +201,15 @@ def write_pdf(project: Project, path: str) -> None:
 
 def write_json(project: Project, path: str) -> None:
     """The project as a JSON text, two spaces deep, rows streamed."""
-    parts = {"files": project.files.orderBy("ord"), "findings": project.findings(), "exactFiles": audit.exact_groups(project.files), "attributeMatches": audit.attribute_groups(project.files)}
+    from ..sources.parsers import Limits
+
+    submissions = audit.supplier_stats(project.files).join(audit.manifest_hashes(project.files).select("submission_id", "zip_name", "manifest_hash", "ord"), "submission_id").orderBy("ord")
+    parts = {"submissions": submissions, "files": project.files.orderBy("ord"), "findings": project.findings(), "exactFiles": audit.exact_groups(project.files), "attributeMatches": audit.attribute_groups(project.files)}
     parts |= {"operationLog": project.operations} if project.operations is not None else {}
+    parts |= {"reviews": project.reviews} if project.reviews is not None else {}
+    head = {"schemaVersion": 3, "name": project.name, "createdAt": project.created_at, "disclaimer": DISCLAIMER, "options": project.options, "limits": asdict(Limits())}
     with open(path, "w", encoding="utf-8") as out:
-        out.write(json.dumps({"schemaVersion": 3, "name": project.name, "createdAt": project.created_at, "disclaimer": DISCLAIMER}, ensure_ascii=False, indent=2)[:-2])
+        out.write(json.dumps(head, ensure_ascii=False, indent=2)[:-2])
         for name, table in parts.items():
             out.write(f',\n  "{name}": [')
             for i, row in enumerate(table.toLocalIterator()):
@@ -192,14 +219,14 @@ def write_json(project: Project, path: str) -> None:
 
 
 def load_json(spark: SparkSession, path: str) -> Project:
-    """A saved project; groups and findings are computed anew from its files."""
+    """A saved project with its options, log and review states; groups and findings are computed anew from its files."""
     from ..operators.edit import OPERATIONS
     from ..sources.archives import SCHEMA
 
-    whole = spark.read.json(path, multiLine=True, schema=f"name string, createdAt string, files array<{SCHEMA.simpleString()}>, operationLog array<struct<{', '.join(c.replace(' ', ': ', 1) for c in OPERATIONS.split(', '))}>>")
-    head = whole.select("name", "createdAt").first()
-    files = whole.select(F.inline("files"))
-    return Project(head["name"], files, whole.select(F.inline(F.coalesce("operationLog", F.array()))) if whole.where("operationLog IS NOT NULL").count() else None, created_at=head["createdAt"])
+    whole = spark.read.json(path, multiLine=True, schema=f"name string, createdAt string, options map<string,boolean>, reviews array<struct<{REVIEWS.replace(' ', ': ').replace(',:', ',')}>>, files array<{SCHEMA.simpleString()}>, operationLog array<struct<{', '.join(c.replace(' ', ': ', 1) for c in OPERATIONS.split(', '))}>>")
+    head = whole.select("name", "createdAt", "options", F.isnotnull("operationLog").alias("log"), F.isnotnull("reviews").alias("reviewed")).first()
+    rows = lambda name: whole.select(F.inline(name))
+    return Project(head["name"], rows("files"), rows("operationLog") if head["log"] else None, rows("reviews") if head["reviewed"] else None, head["createdAt"], head["options"] or {})
 
 
 def write_report(project: Project, path: str) -> None:
