@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that is handed on; texts are long, so batches are kept short.
 BATCH_ROWS = 512
+#: Bits of the table that tells which rows may join: eight a member, within these bounds.
+BITS = (1 << 18, 1 << 27)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -51,6 +53,28 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def divide_by_members(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose key may be among the members' keys, those whose key surely isn't), keys being 64-bit hashes.
+
+    An exact join follows for the former; the latter needn't be shuffled. The
+    members' bits are grouped to words of 64, so what is broadcast has at
+    most BITS[1] / 64 rows (two million) whatever the input; where members
+    fill the table more rows may be among them, none is lost.
+    """
+    bits = min(max(1 << (8 * members.count()).bit_length(), BITS[0]), BITS[1])
+    place = lambda k: F.pmod(k, F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(place__ & 63 as int))")
+    words = members.select(place(member).alias("place__")).groupBy(F.shiftright("place__", 6).alias("word__")).agg(F.bit_or(one).alias("bits__"))
+    held = rows.withColumn("place__", place(key)).withColumn("word__", F.shiftright("place__", 6)).join(F.broadcast(words), "word__", "left")
+    among = F.coalesce(F.col("bits__").bitwiseAND(one) != 0, F.lit(False))
+    return held.where(among).select(*rows.columns), held.where(~among).select(*rows.columns)
+
+
+def likely_members(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
+    """The rows whose key may be among the members' keys, for an exact join to follow."""
+    return divide_by_members(rows, key, members, member)[0]
+
+
 def crc_bucket(doc_id: str, buckets: int) -> Column:
     """crc32(doc_id as text) mod buckets; null where doc_id is null."""
     return F.crc32(F.col(doc_id).cast("string")) % buckets

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, per_document, with_made
+from .common import discard, divide_by_members, likely_members, materialise, per_document, with_made
 from .components import components
 from .simhash import BKTree, cut_shards, majority, search_shards, signed
 
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def sets(docs: DataFrame, nodes: DataFrame, id: str, text: str) -> DataFrame:
-    """(node, hashes) of nodes (node, least), from the texts of their least ids; hashes are packed."""
+    """(node, hashes) of nodes (node, least) and of some more, from the texts of their least ids; hashes are packed, repeated rows come again. No text is shuffled."""
 
     def make():
         def one(data: bytes) -> tuple:
@@ -105,9 +105,8 @@ def sets(docs: DataFrame, nodes: DataFrame, id: str, text: str) -> DataFrame:
 
         return one
 
-    ids = nodes.select(F.col("least").alias(id)).distinct()
-    made = per_document(docs.select(id, text).join(ids, id, "left_semi"), [id], make, f"{id} {docs.schema[id].dataType.simpleString()}, node long, hashes binary", text)
-    return made.select("node", "hashes").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    likely = likely_members(docs.select(id, text), F.xxhash64(id), nodes, F.xxhash64("least"))
+    return per_document(likely, [], make, "node long, hashes binary", text)
 
 
 def likely_pairs(n: np.ndarray, fp: np.ndarray, signature: np.ndarray):
@@ -152,6 +151,8 @@ def likely_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, signature: np.
 
 def similar_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, signature: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     """Pairs (a, b) that span what the shard's similar pairs connect, each held against the exact sets."""
+    node, first = np.unique(node, return_index=True)
+    n, fp, signature, hashes = n[first], fp[first], signature[first], hashes[first]
     groups = Groups(len(node))
     _, code = np.unique(np.frombuffer(b"".join(hashes), "<u8"), return_inverse=True)
     ends = np.cumsum(n)
@@ -172,9 +173,11 @@ def similar_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, signature: np
 def links(docs: DataFrame, nodes: DataFrame, id: str, text: str) -> DataFrame:
     """Links (a, b) that join all similar nodes of nodes (node, least, n, fp, bands, signature) that share a band."""
     dealt = nodes.select("node", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = materialise(dealt.join(shared, "key", "left_semi").select("key", "node"), "members")
-    own = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "fp", "signature"), "candidates")
+    # a node has a key once, so a key that comes twice is shared; only rows that may have one are shuffled again
+    shared = materialise(dealt.groupBy("key").count().where("count > 1").select("key"), "shared")
+    members = materialise(likely_members(dealt, F.col("key"), shared, F.col("key")).join(shared, "key", "left_semi").select("key", "node"), "members")
+    some = materialise(members.select("node").distinct(), "some")
+    own = materialise(likely_members(nodes.select("node", "least", "n", "fp", "signature"), F.col("node"), some, F.col("node")).join(some, "node", "left_semi"), "candidates")
     columns = ["node", "n", "fp", "signature"]
     likely = search_shards(cut_shards(members.join(own.drop("least"), "node"), ["key"], "node"), ["key"], columns, likely_links, "a long, b long")
     clusters = materialise(components(likely), "clusters")
@@ -182,10 +185,11 @@ def links(docs: DataFrame, nodes: DataFrame, id: str, text: str) -> DataFrame:
     # of a small cluster all meet at once, and each set is sent once or a few times; of a large one those that share a band
     small = sized.where(F.col("size") <= CLUSTER).select(F.lit(True).alias("whole"), F.col("root").alias("key"), "node")
     large = members.join(sized.where(F.col("size") > CLUSTER).select("node"), "node", "left_semi").select(F.lit(False).alias("whole"), "key", "node")
-    held = materialise(sets(docs, own.join(clusters.select("node"), "node", "left_semi"), id, text), "sets")
-    rows = small.unionByName(large).join(own.drop("least"), "node").join(held, "node")
+    linked = materialise(own.join(clusters.select("node"), "node", "left_semi"), "clustered")
+    held = materialise(sets(docs, linked, id, text), "sets")
+    rows = small.unionByName(large).join(linked.drop("least"), "node").join(held, "node")
     out = materialise(search_shards(cut_shards(rows, ["whole", "key"], "node", EXACT_ROWS), ["whole", "key"], [*columns, "hashes"], similar_links, "a long, b long"), "linked")
-    for used in (members, own, clusters, held):
+    for used in (shared, members, some, own, clusters, linked, held):
         discard(used)
     return out
 
@@ -209,7 +213,10 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     groups = near_copies(docs, id, text)
     repeated = materialise(groups.groupBy(F.col(id).alias("own")).count().where("count > 1").select("own"), "repeated")
     gone = materialise(groups.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("own")).distinct(), "copies")
-    kept = docs.join(gone.unionByName(repeated), F.col(id) == F.col("own"), "left_anti").select(*docs.columns)
+    out = gone.unionByName(repeated)
+    # only the texts of rows that may go are shuffled
+    maybe, stays = divide_by_members(docs, F.xxhash64(id), out, F.xxhash64("own"))
+    kept = stays.unionByName(maybe.join(out, F.col(id) == F.col("own"), "left_anti").select(*docs.columns))
     if repeated.isEmpty():
         return kept
     # rows whose id says not which text they are: their nodes are made again
@@ -217,7 +224,7 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         return lambda data: (node_of(shingles(data)),)
 
     node, group = "node__", "root__"
-    again = with_made(docs.join(repeated, F.col(id) == F.col("own"), "left_semi").select(*docs.columns), make, f"{node} long", text)
-    stays = groups.where(F.col(id) == F.col("component_id")).select(F.col("component_id").alias("least__"), F.col("node").alias(node), F.col("root").alias(group)).distinct()
-    rows = again.join(stays, [node], "inner").where(F.col(id) == F.col("least__"))
+    again = with_made(likely_members(docs, F.xxhash64(id), repeated, F.xxhash64("own")).join(repeated, F.col(id) == F.col("own"), "left_semi").select(*docs.columns), make, f"{node} long", text)
+    first = groups.where(F.col(id) == F.col("component_id")).select(F.col("component_id").alias("least__"), F.col("node").alias(node), F.col("root").alias(group)).distinct()
+    rows = again.join(first, [node], "inner").where(F.col(id) == F.col("least__"))
     return kept.unionByName(rows.dropDuplicates([id, group]).select(*docs.columns))

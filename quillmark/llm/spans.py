@@ -31,16 +31,14 @@ from bisect import bisect_left
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, blobs, lower, materialise
+from .common import BATCH_ROWS, blobs, likely_members, lower, materialise
 
 LEAST_SENTENCES, LEAST_WORDS = 3, 32
 #: Words of a sentence from which it is cut, and words of a piece at most.
 PIECE = 6
-#: Bits of the table that tells which rows may join: eight a member, within these bounds.
-BITS = (1 << 18, 1 << 27)
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|$)")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The first eight and the next four bytes of a digest.
@@ -142,21 +140,6 @@ def document_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     return docs.where(F.col(id).isNotNull()).select(id, text).mapInArrow(run, schema)
 
 
-def likely_members(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
-    """The rows whose key may be among the members' keys (64-bit hashes), for an exact join to follow.
-
-    The members' bits are grouped to words of 64, so what is broadcast has at
-    most BITS[1] / 64 rows (two million) whatever the input; where members
-    fill the table more rows pass, none is lost.
-    """
-    bits = min(max(1 << (8 * members.count()).bit_length(), BITS[0]), BITS[1])
-    place = lambda k: F.pmod(k, F.lit(bits))
-    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    words = members.select(place(member).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    held = rows.withColumn("place", place(key)).withColumn("word", F.shiftright("place", 6))
-    return held.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0).select(*rows.columns)
-
-
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, spans, source): of each document that holds other than first copies, their (at, n) by position and the smallest id that holds a first one."""
     own = materialise(document_runs(docs, id, text), "runs")
