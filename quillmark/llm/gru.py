@@ -17,9 +17,9 @@ HIDDEN, WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 16, 32, 32, 64
 WORDS = WORD_CLASSES * CLASS_WORDS
 CLASSES, SYMBOLS = WORD_CLASSES + RARE_CLASSES, WORDS + RARE_CLASSES
 #: Steps of a window of training and of scoring; streams trained side by side at first, and where much is read.
-TRAIN_STEPS, SCORE_STEPS, STREAMS, MORE_STREAMS = 20, 64, 32, 128
-#: Tokens whose softmax is computed at a time.
-CHUNK = 1 << 13
+TRAIN_STEPS, SCORE_STEPS, STREAMS, MORE_STREAMS = 20, 64, 32, 256
+#: Tokens whose softmax is computed at a time, in scoring and in training.
+CHUNK, TRAIN_CHUNK = 1 << 13, 1 << 11
 
 SHAPES = {"inputs": (SYMBOLS, 3 * HIDDEN), "recur": (HIDDEN, 3 * HIDDEN), "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (WORD_CLASSES, HIDDEN, CLASS_WORDS), "word_b": (WORD_CLASSES, CLASS_WORDS)}
 
@@ -46,15 +46,20 @@ def flat(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([model[k].ravel() for k in SHAPES])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def views(values: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights as views of one vector."""
     out, at = {}, 0
     for k, shape in SHAPES.items():
         n = int(np.prod(shape))
-        out[k] = values[at : at + n].reshape(shape).astype(np.float32)
+        out[k] = values[at : at + n].reshape(shape)
         at += n
     return out
 
 
+def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+    return views(values.astype(np.float32))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
@@ -69,17 +74,33 @@ def step(model: dict[str, np.ndarray], h: np.ndarray, symbols: np.ndarray) -> tu
     return new + z * (h - new), z, r, new, inner
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exponentials(w: np.ndarray, b: np.ndarray, state: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(e^logit, their sums, the logit of each row's chosen class); classes go down, so that the sums run over whole rows of memory.
+
+    The largest logit is taken off only where the sums would leave the numbers' range.
+    """
+    def logits() -> np.ndarray:
+        x = w.T @ state.T
+        x += b[:, None]
+        return x
+
+    rows = np.arange(len(chosen))
+    x = logits()
+    own = x[chosen, rows]
+    with np.errstate(over="ignore"):
+        sums = np.exp(x, out=x).sum(0)
+    if not (sums.min(initial=1) > 1e-30 and sums.max(initial=1) < 1e30):
+        x = logits()
+        x -= x.max(0)
+        own = x[chosen, rows]
+        sums = np.exp(x, out=x).sum(0)
+    return x, sums, own
 
 
 def _pick(w: np.ndarray, b: np.ndarray, state: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row's chosen class; classes go down, so that the sums run over whole rows of memory."""
-    logits = w.T @ state.T + b[:, None]
-    logits -= logits.max(0)
-    own = logits[chosen, np.arange(len(chosen))]
-    return own - np.log(np.exp(logits, out=logits).sum(0))
+    """The log-softmax of each row's chosen class."""
+    _, sums, own = _exponentials(w, b, state, chosen)
+    return own - np.log(sums)
 
 
 def log_probabilities(model: dict[str, np.ndarray], h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -126,80 +147,109 @@ def score(model: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
 # -- training -----------------------------------------------------------------
 
 
+def _loss(w: np.ndarray, b: np.ndarray, state: np.ndarray, chosen: np.ndarray, scale: np.floating) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(gradients of w, b and state, summed loss) of a softmax of which a class is chosen a row."""
+    d, sums, own = _exponentials(w, b, state, chosen)
+    loss = float(np.log(sums).sum() - own.sum())
+    d *= scale / sums
+    d[chosen, np.arange(len(chosen))] -= scale
+    return (d @ state).T, d.sum(1), (w @ d).T, loss
+
+
 def gradients(model: dict[str, np.ndarray], h: np.ndarray, window: np.ndarray, fresh: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """(gradients, state after the window, mean loss) of a window (steps, streams); fresh marks the steps at which a text begins."""
     steps, n = window.shape
-    kept, states = [], []
+    own, size = window.ravel(), steps * n
+    kind = model["recur"].dtype
+    states, gates, inners = np.empty((steps, n, HIDDEN), kind), np.empty((steps, n, 2 * HIDDEN), kind), np.empty((steps, n, HIDDEN), kind)
+    news = np.empty((steps, n, HIDDEN), kind)
+    inputs, keep = model["inputs"][window], ~fresh[:, :, None]
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        states.append(h)
-        nxt, *gates = step(model, h, window[t])
-        kept.append(gates)
-        h = nxt
-    after = h
-    state, own = np.concatenate(states), window.ravel()
-    rows = np.arange(len(own))
-    classes = class_of(own)
-    scale = np.float32(1 / len(own))
-    log_class = _log_softmax(state @ model["class_w"] + model["class_b"])
-    loss = -float(log_class[rows, classes].sum())
-    d = np.exp(log_class)
-    d[rows, classes] -= 1
-    d *= scale
-    g = {"class_w": state.T @ d, "class_b": d.sum(0), "word_w": np.zeros_like(model["word_w"]), "word_b": np.zeros_like(model["word_b"])}
-    dh_out = d @ model["class_w"].T
-    words = np.flatnonzero(own < WORDS)
-    for c in np.unique(classes[words]):
-        at = words[classes[words] == c]
-        logs = _log_softmax(state[at] @ model["word_w"][c] + model["word_b"][c])
-        inner = own[at] - c * CLASS_WORDS
-        loss -= float(logs[np.arange(len(at)), inner].sum())
-        d = np.exp(logs)
-        d[np.arange(len(at)), inner] -= 1
-        d *= scale
-        g["word_w"][c], g["word_b"][c] = state[at].T @ d, d.sum(0)
-        dh_out[at] += d @ model["word_w"][c].T
-    g["inputs"], g["recur"] = np.zeros_like(model["inputs"]), np.zeros_like(model["recur"])
+        before = np.multiply(h, keep[t], out=states[t])
+        u, x = before @ model["recur"], inputs[t]
+        both = np.add(x[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates[t])
+        both *= kind.type(0.5)
+        np.tanh(both, out=both)
+        both *= kind.type(0.5)
+        both += kind.type(0.5)
+        inners[t] = u[:, 2 * HIDDEN :]
+        new = np.multiply(both[:, HIDDEN:], inners[t], out=news[t])
+        new += x[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        h = new + both[:, :HIDDEN] * (before - new)
+    state = states.reshape(size, HIDDEN)
+    classes, scale = class_of(own), kind.type(1 / size)
+    g, dh_out, loss = {k: np.zeros_like(model[k]) for k in ("class_w", "class_b")}, np.empty((size, HIDDEN), kind), 0.0
+    for at in range(0, size, TRAIN_CHUNK):
+        to = slice(at, at + TRAIN_CHUNK)
+        d_w, d_b, dh_out[to], more = _loss(model["class_w"], model["class_b"], state[to], classes[to], scale)
+        g["class_w"] += d_w
+        g["class_b"] += d_b
+        loss += more
+    g["word_w"], g["word_b"] = np.zeros_like(model["word_w"]), np.zeros_like(model["word_b"])
+    # by class, the rare ones last; sixteen bits are sorted by radix
+    order = np.argsort(classes.astype(np.int16), kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(WORD_CLASSES + 1))
+    order = order[: ends[-1]]
+    by_class, inner, d_class = state[order], own[order] % CLASS_WORDS, np.empty((len(order), HIDDEN), kind)
+    for c in np.flatnonzero(np.diff(ends)):
+        at = slice(ends[c], ends[c + 1])
+        g["word_w"][c], g["word_b"][c], d_class[at], more = _loss(model["word_w"][c], model["word_b"][c], by_class[at], inner[at], scale)
+        loss += more
+    dh_out[order] += d_class
+    dh_out = dh_out.reshape(steps, n, HIDDEN)
+    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    # what each step's gradient is multiplied by, for all steps at once
+    to_new, to_z = (1 - z) * (1 - news * news), (states - news) * z * (1 - z)
+    to_r = inners * r * (1 - r)
     dh = np.zeros_like(h)
-    dx_all = np.empty((steps, n, 3 * HIDDEN), np.float32)
+    dx, du = np.empty((steps, n, 3 * HIDDEN), kind), np.empty((steps, n, 3 * HIDDEN), kind)
+    back = np.ascontiguousarray(model["recur"].T)
     for t in reversed(range(steps)):
-        z, r, new, inner = kept[t]
-        before = states[t]
-        d_new = dh * (1 - z) * (1 - new * new)
-        d_z = dh * (before - new) * z * (1 - z)
-        d_r = d_new * inner * r * (1 - r)
-        dx_all[t] = np.concatenate([d_z, d_r, d_new], 1)
-        du = np.concatenate([d_z, d_r, d_new * r], 1)
-        g["recur"] += before.T @ du
-        dh = dh * z + du @ model["recur"].T + dh_out[t * n : (t + 1) * n]
-        dh[fresh[t]] = 0
-    order = np.argsort(own, kind="stable")
-    found, first = np.unique(own[order], return_index=True)
-    g["inputs"][found] = np.add.reduceat(dx_all.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-    return g, after, loss / len(own)
+        d_new = np.multiply(dh, to_new[t], out=dx[t][:, 2 * HIDDEN :])
+        np.multiply(dh, to_z[t], out=dx[t][:, :HIDDEN])
+        np.multiply(d_new, to_r[t], out=dx[t][:, HIDDEN : 2 * HIDDEN])
+        du[t][:, : 2 * HIDDEN] = dx[t][:, : 2 * HIDDEN]
+        np.multiply(d_new, r[t], out=du[t][:, 2 * HIDDEN :])
+        dh = dh * z[t]
+        dh += du[t] @ back
+        dh += dh_out[t]
+        dh *= keep[t]
+    g["recur"] = state.T @ du.reshape(size, 3 * HIDDEN)
+    g["inputs"] = np.zeros_like(model["inputs"])
+    order = np.argsort(own.astype(np.int16), kind="stable")
+    sorted_own = own[order]
+    first = np.flatnonzero(np.diff(sorted_own, prepend=-1))
+    g["inputs"][sorted_own[first]] = np.add.reduceat(dx.reshape(size, 3 * HIDDEN)[order], first, axis=0)
+    return g, h, loss / size
 
 
 def train(model: dict[str, np.ndarray], texts: list[np.ndarray], rate: float = 0.01, passes: int = 1, streams: int = STREAMS) -> tuple[dict[str, np.ndarray], int]:
     """(a trained copy, tokens read): the texts are laid end to end over parallel streams, whose states go on from window to window."""
-    model = {k: v.copy() for k, v in model.items()}
-    mean, square = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}
+    now = flat(model)
+    own = views(now)
+    mean, square = np.zeros_like(now), np.zeros_like(now)
     tokens = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     first = np.zeros(len(tokens), bool)
     first[np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64) if texts else []] = True
     streams = max(1, min(streams, len(tokens) // TRAIN_STEPS))
-    steps = len(tokens) // streams if streams else 0
-    lanes, starts = tokens[: steps * streams].reshape(streams, steps).T, first[: steps * streams].reshape(streams, steps).T.copy()
+    steps = -(-len(tokens) // streams)
+    # the last stream is filled up from the beginning, so that no token is left out
+    lanes, starts = np.resize(tokens, (streams, steps)).T, np.resize(first, (streams, steps)).T.copy()
     total, k = passes * -(-steps // TRAIN_STEPS), 0
     for _ in range(passes):
         h = np.zeros((streams, HIDDEN), np.float32)
         for at in range(0, steps, TRAIN_STEPS):
-            g, h, _ = gradients(model, h, lanes[at : at + TRAIN_STEPS].astype(np.int64), starts[at : at + TRAIN_STEPS])
+            parts, h, _ = gradients(own, h, lanes[at : at + TRAIN_STEPS].astype(np.int64), starts[at : at + TRAIN_STEPS])
             k += 1
-            now = rate * (1 - 0.9 * k / total) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for name, x in g.items():
-                x = x * np.float32(min(1, 1 / (norm + 1e-9)))
-                mean[name] += np.float32(0.1) * (x - mean[name])
-                square[name] += np.float32(0.001) * (x * x - square[name])
-                model[name] -= np.float32(now) * mean[name] / (np.sqrt(square[name]) + np.float32(1e-8))
-    return model, passes * steps * streams
+            pace = rate * (1 - 0.9 * k / total) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
+            x = flat(parts)
+            x *= np.float32(min(1, 1 / (np.sqrt(float(x @ x)) + 1e-9)))
+            mean += np.float32(0.1) * (x - mean)
+            x *= x
+            square += np.float32(0.001) * (x - square)
+            np.sqrt(square, out=x)
+            x += np.float32(1e-8)
+            np.divide(mean, x, out=x)
+            now -= np.float32(pace) * x
+    return own, passes * len(tokens)

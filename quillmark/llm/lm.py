@@ -7,10 +7,12 @@ What is learned, from the training rows only:
   ``LEXICON_BYTES`` bytes), which every task holds; the words beyond it meet their counts in a
   join, so none is lost and nothing that grows is broadcast.
 * The recurrent weights. A first model is trained on the driver from about
-  ``WARM_TOKENS`` tokens; then every partition goes on from it over its own
-  training texts, of a corpus of any size one in ``SHARE``, taken by a hash of
-  the id, and the partitions' weights are averaged by the tokens that they
-  read, a few vectors a task at a time.
+  ``WARM_TOKENS`` tokens; then every partition goes on from it over all of its
+  own training texts, and the partitions' weights are averaged by the tokens
+  that they read, a few vectors a task at a time.
+
+Texts are cut and looked up once, for learning and scoring alike: their
+symbols, two bytes a token, go through a table.
 
 A word outside the model's own vocabulary is predicted as its class (by its
 last bytes), within which it has its smoothed corpus share, one unseen word a
@@ -39,9 +41,11 @@ from . import gru
 from .common import blobs, crc_bucket, discard, materialise
 
 LEXICON, LEXICON_BYTES = 100_000, 64
-WARM_TOKENS, SHARE = 300_000, 2
+WARM_TOKENS = 300_000
 #: Weight vectors that a task averages, and that go to the driver at most.
 FAN = 8
+#: Tokens that a task holds while it learns; a larger partition is learned from in rounds.
+ROUND = 8_000_000
 #: The end of a text; no word has a line break in it.
 END = b"\n"
 #: Texts, and tokens, that are scored side by side; words that a task counts before it passes them on.
@@ -128,39 +132,80 @@ def make_lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(top, sum(c for c, _ in by_class.values()), sum(n for _, n in by_class.values()), by_class)
 
 
-def train_model(docs: DataFrame, lexicon: Lexicon, shared, id: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
-    """The recurrent weights, learned from training rows."""
+def encode(docs: DataFrame, shared, keep: list[str], text: str = "text") -> DataFrame:
+    """keep..., n_tokens, known, base, within, rare, symbols: what the lexicon gives of each text, (word, n) of the words beyond it, and the model's symbols, two bytes each."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    model = gru.initial(lexicon.word_mass, lexicon.rare_mass)
-    if not lexicon.total:
-        return model
-
-    def of(share: float, salt: str) -> DataFrame:
-        return docs.where(F.pmod(F.xxhash64(F.lit(salt), F.col(id)), F.lit(1_000_000)) < int(share * 1_000_000)).select(text)
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def read(batches) -> Iterator[np.ndarray]:
-        own = shared.value
+    def run(batches):
+        lexicon = shared.value
+        log_mass = np.log10(lexicon.rare_mass)
         for batch in batches:
-            for data in blobs(batch.column(0)):
-                words = tokens_of(data)
-                yield own.symbols(words, own.look_up(words)).astype(np.int16)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows: list[tuple] = []
+                rare_words: list[bytes] = []
+                rare_counts: list[int] = []
+                ends = [0]
+                for data in blobs(part.column(len(keep))):
+                    words = tokens_of(data)
+                    found = lexicon.look_up(words)
+                    symbols = lexicon.symbols(words, found)
+                    inside = found[found >= 0]
+                    beyond = np.flatnonzero(found < 0)
+                    rare = Counter(map(words.__getitem__, beyond.tolist()))
+                    rare_words += rare
+                    rare_counts += rare.values()
+                    ends.append(len(rare_words))
+                    # a word beyond the lexicon gets its own share by the join; its class's mass is taken off here
+                    within = float(lexicon.within[inside].sum()) - float(log_mass[symbols[beyond] - gru.WORDS].sum())
+                    rows.append((len(words), len(inside), float(lexicon.base[inside].sum()), within, symbols.astype("<i2").tobytes()))
+                n, known, base, within, symbols = zip(*rows, strict=True)
+                rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "n"])
+                made = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare), pa.array(symbols, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, "n_tokens", "known", "base", "within", "rare", "symbols"])
+
+    return docs.select(*keep, text).mapInArrow(run, f"{fields}, n_tokens long, known long, base double, within double, rare array<struct<word: binary, n: bigint>>, symbols binary")
+
 
-    def symbols(batches):
-        for texts in read(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([texts.tobytes()], pa.binary())], names=["symbols"])
+def _symbols(batch) -> Iterator[np.ndarray]:
+    for data in batch.column(batch.num_columns - 1):
+        yield np.frombuffer(data.as_buffer(), "<i2")
 
-    warm = of(min(1.0, WARM_TOKENS / lexicon.total), "warm").mapInArrow(symbols, "symbols binary").collect()
-    model, _ = gru.train(model, [np.frombuffer(r["symbols"], np.int16).astype(np.int64) for r in warm], passes=2 if len(warm) else 1)
+
+def train_model(encoded: DataFrame, lexicon: Lexicon, id: str = "doc_id") -> tuple[dict[str, np.ndarray], int]:
+    """(the recurrent weights, the tokens that they were learned from after the first model): learned from every one of the encoded training rows."""
+    import pyarrow as pa
+
+    spark = encoded.sparkSession
+    model = gru.initial(lexicon.word_mass, lexicon.rare_mass)
+    if not lexicon.total:
+        return model, 0
+    first = F.pmod(F.xxhash64(F.lit("warm"), F.col(id)), F.lit(1_000_000)) < int(min(1.0, WARM_TOKENS / lexicon.total) * 1_000_000)
+    warm = [np.frombuffer(r["symbols"], "<i2").astype(np.int64) for r in encoded.where(first).select("symbols").collect()]
+    model, _ = gru.train(model, warm, passes=2 if len(warm) else 1)
     start = spark.sparkContext.broadcast(gru.flat(model))
 
-    def go_on(batches):
-        texts = list(read(batches))
+    def rounds(batches) -> Iterator[list[np.ndarray]]:
+        texts, n = [], 0
+        for batch in batches:
+            for own in _symbols(batch):
+                texts.append(own)
+                n += len(own)
+                if n >= ROUND:
+                    yield texts
+                    texts, n = [], 0
         if texts:
-            trained, n = gru.train(gru.unflat(start.value), texts, rate=0.004, streams=gru.MORE_STREAMS)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([float(n)], pa.float64()), pa.array([gru.flat(trained).tobytes()], pa.binary())], names=["n", "weights"])
+            yield texts
+
+    def go_on(batches):
+        own, total = gru.unflat(start.value), 0
+        for texts in rounds(batches):
+            own, n = gru.train(own, texts, rate=0.004, streams=gru.MORE_STREAMS)
+            total += n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([float(total)], pa.float64()), pa.array([gru.flat(own).tobytes()], pa.binary())], names=["n", "weights"])
 
     def mean(batches):
         total, n = np.zeros(gru.SIZE), 0.0
@@ -171,7 +216,7 @@ def train_model(docs: DataFrame, lexicon: Lexicon, shared, id: str = "doc_id", t
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
-    each = materialise(of(1 / SHARE, "share").mapInArrow(go_on, "n double, weights binary"), "weights")
+    each = materialise(encoded.select("symbols").mapInArrow(go_on, "n double, weights binary"), "weights")
     while (left := each.count()) > FAN:
         before, each = each, materialise(each.repartition(-(-left // FAN)).mapInArrow(mean, "n double, weights binary"), "weights")
         discard(before)
@@ -179,86 +224,65 @@ def train_model(docs: DataFrame, lexicon: Lexicon, shared, id: str = "doc_id", t
     discard(each)
     if rows:
         model = gru.unflat(np.average([np.frombuffer(r["weights"], np.float32) for r in rows], axis=0, weights=[r["n"] for r in rows]))
-    return model
+    return model, int(sum(r["n"] for r in rows))
 
 
-def score_texts(docs: DataFrame, shared, model: dict[str, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """keep..., n_tokens, known, base, model, rare: what the lexicon and the model give, and (word, n) of the words beyond the lexicon."""
+def score_texts(encoded: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+    """keep..., likely: the model's log10 probability of each encoded text's symbols."""
     import pyarrow as pa
 
-    weights = docs.sparkSession.sparkContext.broadcast(gru.flat(model))
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    weights = encoded.sparkSession.sparkContext.broadcast(gru.flat(model))
+    fields = ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        lexicon, own = shared.value, gru.unflat(weights.value)
-        log_mass = np.log10(lexicon.rare_mass)
+        own = gru.unflat(weights.value)
         held: list[pa.RecordBatch] = []
-        rows: list[tuple] = []
         texts: list[np.ndarray] = []
-        rare_words: list[bytes] = []
-        rare_counts: list[int] = []
-        ends = [0]
         n = 0
 
         def out() -> pa.RecordBatch:
-            likely = gru.score(own, texts) / LN10
             kept = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] + x for r, x in zip(rows, likely, strict=True)], pa.float64())]
-            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "n"])
-            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare))
-            for used in (held, rows, texts, rare_words, rare_counts):
-                used.clear()
-            ends[1:] = []
-            return pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*keep, "n_tokens", "known", "base", "model", "rare"])
+            made = pa.array(gru.score(own, texts) / LN10, pa.float64())
+            held.clear()
+            texts.clear()
+            return pa.RecordBatch.from_arrays([*kept.columns, made], names=[*keep, "likely"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for data in blobs(part.column(len(keep))):
-                    words = tokens_of(data)
-                    found = lexicon.look_up(words)
-                    symbols = lexicon.symbols(words, found)
-                    inside = found[found >= 0]
-                    beyond = np.flatnonzero(found < 0)
-                    rare = Counter(map(words.__getitem__, beyond.tolist()))
-                    rare_words += rare
-                    rare_counts += rare.values()
-                    ends.append(len(rare_words))
-                    # a word beyond the lexicon gets its own share by the join; its class's mass is taken off here
-                    within = float(lexicon.within[inside].sum()) - float(log_mass[symbols[beyond] - gru.WORDS].sum())
-                    rows.append((len(words), len(inside), float(lexicon.base[inside].sum()), within))
-                    texts.append(symbols.astype(np.int16))
-                    n += len(words)
+                texts += _symbols(part)
+                n += sum(map(len, texts[-part.num_rows :]))
                 held.append(pa.RecordBatch.from_arrays(part.columns[: len(keep)], names=keep))
                 if len(texts) >= SIDE_BY_SIDE or n >= SIDE_TOKENS:
                     yield out()
                     n = 0
-        if rows:
+        if texts:
             yield out()
 
-    return docs.select(*keep, text).mapInArrow(run, f"{fields}, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: bigint>>")
+    return encoded.select(*keep, "symbols").mapInArrow(run, f"{fields}, likely double")
 
 
 def score_documents(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from the rows that ``training`` (a condition) marks."""
-    learn = docs.where(training & F.col(id).isNotNull())
-    counts = materialise(token_counts(learn, text), "counts")
+    learn = F.coalesce(training & F.col(id).isNotNull(), F.lit(False))
+    counts = materialise(token_counts(docs.where(learn), text), "counts")
     lexicon = make_lexicon(counts)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    model = train_model(learn, lexicon, shared, id, text)
     # the rows' numbers are fixed once they are written
-    scored = materialise(score_texts(docs, shared, model, [id], text).withColumn("row", F.monotonically_increasing_id()), "scored")
-    beyond = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n").join(counts.select("word", "c"), "word", "left")
+    encoded = materialise(encode(docs.withColumn("learn", learn), shared, [id, "learn"], text).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    model, _ = train_model(encoded.where("learn"), lexicon, id)
+    scored = materialise(score_texts(encoded, model, ["row", id, "n_tokens", "known", "base", "within"]), "scored")
+    beyond = encoded.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n").join(counts.select("word", "c"), "word", "left")
     floor = float(lexicon.denominator)
     sums = beyond.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(floor))).alias("beyond"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("beyond_known"))
     more = F.coalesce("beyond", F.lit(0.0))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         id,
         "n_tokens",
         (F.col("known") + F.coalesce("beyond_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(lexicon.total)).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("within") + F.col("likely") + more).alias("score"),
     )
 
 

@@ -576,3 +576,35 @@ def test_pipeline(spark, texts, coder):
             data = data[:a] + b"[SECRET]" + data[b:]
         want[i] = hashlib.sha256(data).hexdigest()
     assert {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    """Words in another order leave all counts as they are, so only weights that were learned from a text can tell."""
+    from quillmark.llm import lm
+
+    monkeypatch.setattr(lm, "WARM_TOKENS", 0)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
+
+    def scores(turned):
+        docs = spark.createDataFrame([(i, " ".join(reversed(t.split())) if i in turned else t) for i, t in enumerate(texts)], "doc_id long, text string")
+        return {r["doc_id"]: (r["base_score"], r["score"]) for r in lm.held_out_scores(docs.coalesce(1)).collect() if r["held_out"]}
+
+    plain = scores(())
+    assert scores(()) == plain
+    # two halves of the ids, as a hash parts them
+    half = {r["i"] for r in spark.range(40).selectExpr("id AS i", "pmod(xxhash64('share', id), 1000000) < 500000 AS first").where("first").collect()}
+    for own in ([i for i in train if i in half], [i for i in train if i not in half]):
+        turned = scores(own[:1])
+        assert all(turned[i][0] == plain[i][0] and turned[i][1] != plain[i][1] for i in plain)
+
+
+def test_gru_reads_every_token():
+    model = gru.initial(np.full(gru.WORDS, 1e-4), np.full(gru.RARE_CLASSES, 1e-3))
+    texts = [np.arange(n) % gru.WORDS for n in (50, 49, 108)]
+    assert gru.train(model, texts, streams=10)[1] == 207
+    last = [*texts[:2], np.concatenate([texts[2][:-1], [7]])]
+    a, b = (gru.flat(gru.train(model, t, streams=10)[0]) for t in (texts, last))
+    assert not np.array_equal(a, b)
