@@ -64,6 +64,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
+def _sigmoid_in_place(x: np.ndarray) -> np.ndarray:
+    half = x.dtype.type(0.5)
+    x *= half
+    np.tanh(x, out=x)
+    x *= half
+    x += half
+    return x
+
+
 def step(model: dict[str, np.ndarray], h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
     """(next state, update gate, reset gate, new content, recurrent content) after reading the symbols."""
     x = model["inputs"][symbols]
@@ -128,17 +137,30 @@ def score(model: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     length = np.array([len(texts[i]) for i in order], np.int64)
     symbols = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
     start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(texts) else length
-    h = np.zeros((len(texts), HIDDEN), np.float32)
+    # features go down and texts along, as in training; what the steps do is step()'s
+    h, recur = np.zeros((HIDDEN, len(texts)), np.float32), np.ascontiguousarray(model["recur"].T)
     for begin in range(0, int(length.max(initial=0)), SCORE_STEPS):
-        states, seen, whose = [], [], []
-        for t in range(begin, min(begin + SCORE_STEPS, int(length[0]))):
-            n = int(np.searchsorted(-length, -t))  # texts longer than t
-            own = symbols[start[:n] + t]
-            states.append(h[:n].copy())
-            seen.append(own)
-            whose.append(np.arange(n))
-            h[:n] = step(model, h[:n], own)[0]
-        total += np.bincount(np.concatenate(whose), log_probabilities(model, np.concatenate(states), np.concatenate(seen)), len(texts))
+        end = min(begin + SCORE_STEPS, int(length[0]))
+        counts = np.searchsorted(-length, -np.arange(begin, end))  # texts longer than t
+        at = np.concatenate([[0], np.cumsum(counts)])
+        seen, states = np.empty(at[-1], np.int64), np.empty((at[-1], HIDDEN), np.float32)
+        for t, n, low, high in zip(range(begin, end), counts, at, at[1:], strict=False):
+            own = seen[low:high] = symbols[start[:n] + t]
+            if n < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :n])
+            states[low:high] = h.T
+            x, u = np.ascontiguousarray(model["inputs"][own].T), recur @ h
+            x[: 2 * HIDDEN] += u[: 2 * HIDDEN]
+            both = _sigmoid_in_place(x[: 2 * HIDDEN])
+            new = u[2 * HIDDEN :]
+            new *= both[HIDDEN:]
+            new += x[2 * HIDDEN :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= both[:HIDDEN]
+            h += new
+        whose = np.arange(at[-1]) - np.repeat(at[:-1], counts)
+        total += np.bincount(whose, log_probabilities(model, states, seen), len(texts))
     out = np.empty(len(texts))
     out[order] = total
     return out
@@ -161,23 +183,23 @@ def gradients(model: dict[str, np.ndarray], h: np.ndarray, window: np.ndarray, f
     steps, n = window.shape
     own, size = window.ravel(), steps * n
     kind = model["recur"].dtype
-    states, gates, inners = np.empty((steps, n, HIDDEN), kind), np.empty((steps, n, 2 * HIDDEN), kind), np.empty((steps, n, HIDDEN), kind)
-    news = np.empty((steps, n, HIDDEN), kind)
-    inputs, keep = model["inputs"][window], ~fresh[:, :, None]
+    # features go down and streams along, so that each gate is whole rows of memory
+    states, news, inners = (np.empty((steps, HIDDEN, n), kind) for _ in range(3))
+    gates, keep, recur = np.empty((steps, 2 * HIDDEN, n), kind), ~fresh, np.ascontiguousarray(model["recur"].T)
+    inputs = np.ascontiguousarray(model["inputs"][window].transpose(0, 2, 1))
+    h = np.ascontiguousarray(h.T)
     for t in range(steps):
         before = np.multiply(h, keep[t], out=states[t])
-        u, x = before @ model["recur"], inputs[t]
-        both = np.add(x[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates[t])
-        both *= kind.type(0.5)
-        np.tanh(both, out=both)
-        both *= kind.type(0.5)
-        both += kind.type(0.5)
-        inners[t] = u[:, 2 * HIDDEN :]
-        new = np.multiply(both[:, HIDDEN:], inners[t], out=news[t])
-        new += x[:, 2 * HIDDEN :]
+        u, x = recur @ before, inputs[t]
+        both = _sigmoid_in_place(np.add(x[: 2 * HIDDEN], u[: 2 * HIDDEN], out=gates[t]))
+        inners[t] = u[2 * HIDDEN :]
+        new = np.multiply(both[HIDDEN:], inners[t], out=news[t])
+        new += x[2 * HIDDEN :]
         np.tanh(new, out=new)
-        h = new + both[:, :HIDDEN] * (before - new)
-    state = states.reshape(size, HIDDEN)
+        h = before - new
+        h *= both[:HIDDEN]
+        h += new
+    state = states.transpose(0, 2, 1).reshape(size, HIDDEN)
     classes, scale = class_of(own), kind.type(1 / size)
     g, dh_out, loss = {k: np.zeros_like(model[k]) for k in ("class_w", "class_b")}, np.empty((size, HIDDEN), kind), 0.0
     for at in range(0, size, TRAIN_CHUNK):
@@ -197,31 +219,31 @@ def gradients(model: dict[str, np.ndarray], h: np.ndarray, window: np.ndarray, f
         g["word_w"][c], g["word_b"][c], d_class[at], more = _loss(model["word_w"][c], model["word_b"][c], by_class[at], inner[at], scale)
         loss += more
     dh_out[order] += d_class
-    dh_out = dh_out.reshape(steps, n, HIDDEN)
-    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    dh_out = np.ascontiguousarray(dh_out.reshape(steps, n, HIDDEN).transpose(0, 2, 1))
+    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     # what each step's gradient is multiplied by, for all steps at once
     to_new, to_z = (1 - z) * (1 - news * news), (states - news) * z * (1 - z)
     to_r = inners * r * (1 - r)
     dh = np.zeros_like(h)
-    dx, du = np.empty((steps, n, 3 * HIDDEN), kind), np.empty((steps, n, 3 * HIDDEN), kind)
-    back = np.ascontiguousarray(model["recur"].T)
+    dx, du = np.empty((steps, 3 * HIDDEN, n), kind), np.empty((steps, 3 * HIDDEN, n), kind)
     for t in reversed(range(steps)):
-        d_new = np.multiply(dh, to_new[t], out=dx[t][:, 2 * HIDDEN :])
-        np.multiply(dh, to_z[t], out=dx[t][:, :HIDDEN])
-        np.multiply(d_new, to_r[t], out=dx[t][:, HIDDEN : 2 * HIDDEN])
-        du[t][:, : 2 * HIDDEN] = dx[t][:, : 2 * HIDDEN]
-        np.multiply(d_new, r[t], out=du[t][:, 2 * HIDDEN :])
-        dh = dh * z[t]
-        dh += du[t] @ back
+        d_new = np.multiply(dh, to_new[t], out=dx[t, 2 * HIDDEN :])
+        np.multiply(dh, to_z[t], out=dx[t, :HIDDEN])
+        np.multiply(d_new, to_r[t], out=dx[t, HIDDEN : 2 * HIDDEN])
+        du[t, : 2 * HIDDEN] = dx[t, : 2 * HIDDEN]
+        np.multiply(d_new, r[t], out=du[t, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += model["recur"] @ du[t]
         dh += dh_out[t]
         dh *= keep[t]
-    g["recur"] = state.T @ du.reshape(size, 3 * HIDDEN)
+    g["recur"] = (states @ du.transpose(0, 2, 1)).sum(0)
+    dx = dx.transpose(0, 2, 1).reshape(size, 3 * HIDDEN)
     g["inputs"] = np.zeros_like(model["inputs"])
     order = np.argsort(own.astype(np.int16), kind="stable")
     sorted_own = own[order]
     first = np.flatnonzero(np.diff(sorted_own, prepend=-1))
-    g["inputs"][sorted_own[first]] = np.add.reduceat(dx.reshape(size, 3 * HIDDEN)[order], first, axis=0)
-    return g, h, loss / size
+    g["inputs"][sorted_own[first]] = np.add.reduceat(dx[order], first, axis=0)
+    return g, np.ascontiguousarray(h.T), loss / size
 
 
 def train(model: dict[str, np.ndarray], texts: list[np.ndarray], rate: float = 0.01, passes: int = 1, streams: int = STREAMS) -> tuple[dict[str, np.ndarray], int]:
